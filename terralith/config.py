@@ -89,3 +89,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def tune(spark: SparkSession) -> None:
+    """Session settings the operators rely on, where they can be set at run time."""
+    for key, value in {
+        "spark.sql.session.timeZone": "UTC",
+        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+        # larger generated methods are not JIT-compiled; let Spark split them into operators instead
+        "spark.sql.codegen.hugeMethodLimit": "8000",
+    }.items():
+        spark.conf.set(key, value)

@@ -27,9 +27,9 @@ def fan_out(events: DataFrame, users: DataFrame) -> DataFrame:
     return named.select(*cols).unionByName(by_role.select(*cols))
 
 
-def mark_read(notifications: DataFrame, reads: DataFrame, is_admin: Column = F.lit(False)) -> DataFrame:
+def mark_read(notifications: DataFrame, reads: DataFrame, is_admin: Column | None = None) -> DataFrame:
     """Apply (id, user_id) read marks; only the owner (or an admin) may mark a notification."""
-    marks = reads.select("id", F.col("user_id").alias("_reader"), is_admin.alias("_admin")).distinct()
+    marks = reads.select("id", F.col("user_id").alias("_reader"), (F.lit(False) if is_admin is None else is_admin).alias("_admin")).distinct()
     ok = (F.col("_reader") == F.col("user_id")) | F.col("_admin")
     flagged = notifications.join(marks, "id", "left").groupBy(*notifications.columns).agg(
         F.max(F.coalesce(ok, F.lit(False))).alias("_read"))

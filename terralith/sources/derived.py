@@ -234,3 +234,111 @@ def extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(F.col(source) != "", field_confidence(position)).otherwise(0.0).alias("confidence")))
     return base.select("record_id", F.inline(F.array(*cells))).withColumns(
         {"source": F.lit("regex"), "page": F.lit(1), "corrected_value": F.lit(None).cast("string")})
+
+
+# ------------------------------------------------------------------ documents, words, boxes, pages
+_DOC_SECONDS = "cast((doc_id * 7919) % 2592000 as int)"
+DOCUMENT_COLUMNS: dict[str, str] = {
+    "doc_id": "doc_id",
+    "seq": "doc_id",
+    "batch_id": "concat('B-', cast(doc_id % 50 as string))",
+    "language": "lang",
+    "status": "case doc_id % 10 when 0 then 'failed' when 1 then 'queued' when 2 then 'processing' "
+              "when 3 then 'needs_review' when 4 then 'needs_review' else 'completed' end",
+    "record_status": "case when doc_id % 7 = 0 then 'rejected' else 'pending_review' end",
+    "total_latency_ms": "n_chars % 20000",
+    "ocr_latency_ms": "n_chars % 7000",
+    "created_at": f"timestamp '2024-01-01 00:00:00' + interval '1' second * {_DOC_SECONDS}",
+}
+BOX_COLUMNS: dict[str, str] = {
+    "doc_id": "l_orderkey",
+    "page": "1 + l_suppkey % 3",
+    "seq": "l_linenumber",
+    "label": "case cast(l_quantity as int) % 5 when 0 then 'table' when 1 then 'printed_text' "
+             "when 2 then 'handwritten_text' when 3 then 'stamp' else 'map' end",
+    "x": "cast(l_partkey % 400 as int)",
+    "y": "cast(l_suppkey % 300 as int)",
+    "w": "cast(case when cast(l_quantity as int) % 5 = 0 then 600 else 20 + l_partkey % 200 end as int)",
+    "h": "cast(case when cast(l_quantity as int) % 5 = 0 then 500 else 10 + l_suppkey % 90 end as int)",
+}
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = table(spark, sf_dir, "documents")
+    return base.selectExpr(*[f"{e} as {n}" for n, e in DOCUMENT_COLUMNS.items()], "sha2(text, 256) as file_hash")
+
+
+def text_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("page"), "text")
+
+
+def text_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blank-separated tokens of every document with a stable pseudo-confidence and box."""
+    words = table(spark, sf_dir, "documents").select(
+        "doc_id", F.posexplode(F.split("text", " ")).alias("seq", "text")).where("text <> ''")
+    n = F.length("text")
+    return words.select("doc_id", "seq", "text", (F.lit(40) + (n * 7 + F.col("seq")) % 60).cast("double").alias("confidence"),
+                        F.struct((F.col("seq") % 50 * 12).alias("x"), (F.floor(F.col("seq") / 50) * 20).cast("int").alias("y"),
+                                 (n * 8).alias("w"), F.lit(16).alias("h")).alias("bbox"))
+
+
+def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _project(table(spark, sf_dir, "lineitem"), BOX_COLUMNS)
+
+
+def register_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two register pages per record, composed from its columns, so that extraction has a known answer."""
+    base = records(spark, sf_dir)
+
+    def line(label: str, column: str) -> Column:
+        return F.when(F.col(column) != "", F.concat(F.lit(f"{label} : "), F.col(column)))
+
+    first = F.concat_ws("\n", F.lit("RECORD OF RIGHTS"), line("District", "district"),
+                        F.when(F.col("tehsil") != "", F.concat(F.lit("Tehsil / Block "), F.col("tehsil"))),
+                        line("Village", "village"), line("Khata Number", "khata_no"), line("Khasra Number", "khasra_no"),
+                        line("Survey Number", "survey_no"), line("Owner Name", "owner_name"), F.lit("End of sheet"))
+    child = F.when((F.col("khasra_no") != "") & (F.col("parent_khasra_no") == ""), F.concat(
+        F.lit("Sub Plot Khasra "), F.col("khasra_no"), F.lit("/1  Area 0.50 acre")))
+    second = F.concat_ws("\n", F.when(F.col("area_raw") != "", F.concat(F.lit("Total Area "), F.col("area_raw"))),
+                         line("Land Classification", "land_classification"), line("Mutation Date", "mutation_date"),
+                         line("Mutation Number", "mutation_no"), child, F.lit("End of sheet"))
+    pages = F.array(F.struct(F.lit(1).alias("page"), first.alias("text")), F.struct(F.lit(2).alias("page"), second.alias("text")))
+    return base.select(F.col("record_id").alias("doc_id"), F.inline(pages))
+
+
+USER_ROLES = ["reviewer", "supervisor", "admin", "operator"]
+
+
+def users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    roles = F.array(*[F.lit(r) for r in USER_ROLES])
+    return table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("id"), F.get(roles, (F.col("s_suppkey") % 4).cast("int")).alias("role"))
+
+
+def corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviewer changes for a share of the records: (record_id, field_name, new_value)."""
+    base = records(spark, sf_dir)
+    k = F.col("id")
+    cells = F.array(
+        F.when(k % 3 == 0, F.struct(F.lit("village").alias("field_name"), F.lit("Balarampur").alias("new_value"))),
+        F.when(k % 5 == 0, F.struct(F.lit("area").alias("field_name"), F.lit("1.5 acre").alias("new_value"))),
+        F.when(k % 7 == 0, F.struct(F.lit("owner_name").alias("field_name"), F.col("owner_name").alias("new_value"))),
+        F.when(k % 11 == 0, F.struct(F.lit("status").alias("field_name"), F.lit("approved").alias("new_value"))))
+    return base.select("record_id", F.inline(F.array_compact(cells)))
+
+
+def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").selectExpr(
+        "concat('LR-', cast(o_orderkey as string)) as record_id",
+        "case o_orderkey % 4 when 0 then 'approve' when 1 then 'reject' when 2 then 'escalate' else 'postpone' end as decision",
+        "'' as comment")
+
+
+def suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = records(spark, sf_dir)
+    k = F.col("id")
+    cells = F.array(
+        F.struct(F.lit("village").alias("field_name"), F.lit("Balarampur").alias("suggestion")),
+        F.struct(F.lit("khata_no").alias("field_name"), F.when(k % 2 == 0, "77").otherwise("not-a-number").alias("suggestion")),
+        F.struct(F.lit("owner_name").alias("field_name"), F.lit("Sunita Pradhan").alias("suggestion")))
+    return base.select("record_id", F.inline(cells))
