@@ -96,7 +96,5 @@ def tune(spark: SparkSession) -> None:
     for key, value in {
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-        # larger generated methods are not JIT-compiled; let Spark split them into operators instead
-        "spark.sql.codegen.hugeMethodLimit": "8000",
     }.items():
         spark.conf.set(key, value)

@@ -28,4 +28,4 @@ def drop_text_in_tables(boxes: DataFrame, threshold: float = 0.75) -> DataFrame:
 
 
 def layout_counts(boxes: DataFrame) -> DataFrame:
-    return boxes.groupBy("doc_id", "page").pivot("label", LABELS).agg(F.count("*")).na.fill(0, LABELS)
+    return boxes.groupBy("doc_id", "page").pivot("label", LABELS).agg(F.count("x")).na.fill(0, LABELS)

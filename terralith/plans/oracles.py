@@ -129,10 +129,6 @@ BR2_CHILD = f"""br2c AS (SELECT id, 'BR-2' AS rule_id, 'high' AS severity, conca
   concat(printf('%.4f', round(child_sum, 6)), ' ha') AS actual,
   printf('Digitised sub-plots of khasra %s sum to %.4f ha against a parent area of %.4f ha.', khasra_no, round(child_sum, 6), area_hectare) AS message,
   1::BIGINT AS occurrences FROM records JOIN children USING (khasra_no) WHERE {_OFF.format(s='round(child_sum, 6)')})"""
-BR2_SUB = f"""br2s AS (SELECT id, 'BR-2' AS rule_id, 'high' AS severity, concat(printf('%.4f', area_hectare), ' ha') AS expected,
-  concat(printf('%.4f', declared_sum), ' ha') AS actual,
-  printf('Sub-plot areas listed for khasra %s sum to %.4f ha but the parent plot records %.4f ha (difference %.4f ha).', khasra_no, declared_sum, area_hectare, abs(declared_sum - area_hectare)) AS message,
-  1::BIGINT AS occurrences FROM records JOIN subs USING (record_id) WHERE {_OFF.format(s='declared_sum')})"""
 # same-plot names: every name of a key against every other name of the key (distinct names only)
 PLOT_NAMES = """probe AS (SELECT id, sorted, CASE WHEN khasra_no <> '' THEN 'k' ELSE 's' END AS kind,
     CASE WHEN khasra_no <> '' THEN khasra_no ELSE survey_no END AS key FROM records WHERE khasra_no <> '' OR survey_no <> ''),
@@ -247,8 +243,8 @@ ORACLES["script_tags"] = _with(WORDS) + """SELECT CASE WHEN regexp_matches(text,
   WHEN regexp_matches(text, '[ঀ-৿]') THEN 'Bengali' ELSE 'Latin' END AS script, count(*) AS words, count(DISTINCT doc_id) AS documents FROM words GROUP BY 1"""
 ORACLES["word_stats"] = _with(WORDS) + """SELECT doc_id, count(*) AS word_count, round(avg(confidence), 4) AS mean_confidence, min(confidence) AS min_confidence,
   count(*) FILTER (confidence < 70) AS low_confidence_words FROM words GROUP BY 1"""
-ORACLES["union_box"] = _with(WORDS) + """SELECT doc_id, min(bx)::INT AS x, min(by)::INT AS y, (max(bx + bw) - min(bx))::INT AS w, (max(by + 16) - min(by))::INT AS h
-  FROM (SELECT doc_id, seq % 50 * 12 AS bx, (seq // 50) * 20 AS by, length(text) * 8 AS bw FROM words) GROUP BY 1"""
+ORACLES["union_box"] = _with(WORDS) + """SELECT doc_id, min(bx)::INT AS x, min(ry)::INT AS y, (max(bx + bw) - min(bx))::INT AS w, (max(ry + 16) - min(ry))::INT AS h
+  FROM (SELECT doc_id, seq % 50 * 12 AS bx, (seq // 50) * 20 AS ry, length(text) * 8 AS bw FROM words) GROUP BY 1"""
 _HEAD, _BODY = "head", "body"
 
 
@@ -280,7 +276,10 @@ ORACLES["box_containment"] = _with(BOXES) + """SELECT label, count(*) AS n FROM
 
 # ------------------------------------------------------------------ rules
 ORACLES["br1_mandatory"] = _with(RECORDS, BR1) + f"SELECT {_BRIEF} FROM br1"
-ORACLES["br2_sub_plots"] = _with(RECORDS, CHILDREN, SUBS, BR2_CHILD, BR2_SUB) + f"SELECT {_BRIEF} FROM br2c UNION ALL SELECT {_BRIEF} FROM br2s"
+ORACLES["br2_sub_plots"] = _with(RECORDS, CHILDREN, SUBS) + f"""
+SELECT id, 'BR-2' AS rule_id, 'high' AS severity, area_hectare AS parent_area_ha, round(abs(round(child_sum, 6) - area_hectare), 4) AS difference_ha, child_count AS children
+  FROM records JOIN children USING (khasra_no) WHERE {_OFF.format(s='round(child_sum, 6)')}
+UNION ALL SELECT id, 'BR-2', 'high', area_hectare, round(abs(declared_sum - area_hectare), 4), declared_count FROM records JOIN subs USING (record_id) WHERE {_OFF.format(s='declared_sum')}"""
 ORACLES["br3_duplicates"] = _with(RECORDS, PLOT_NAMES, LCS, BR3, recursive=True) + "SELECT id, rule_id, severity, occurrences, identifier FROM br3"
 ORACLES["br4_chronology"] = _with(RECORDS, DATED, BR4) + f"SELECT {_BRIEF} FROM br4"
 _SORTED = "array_to_string(list_sort(string_split(lower({c}), ' ')), ' ')"
@@ -329,7 +328,7 @@ ORACLES["parent_area"] = _with(RECORDS) + """SELECT c.parent_khasra_no, c.record
 
 # ------------------------------------------------------------------ parcels
 ORACLES["parcel_link"] = _with(RECORDS, PLOTS, LINKS) + "SELECT record_id, match_type, plot_key, round(delta, 2) AS area_delta_pct, abs(delta) > 15 AS spatial_mismatch FROM links"
-ORACLES["parcel_area"] = _with(PLOTS) + "SELECT plot_key, round(polygon_area_ha, 4) AS polygon_area_ha, round(cx, 6) AS lon, round(cy, 6) AS lat FROM plots"
+ORACLES["parcel_area"] = _with(PLOTS) + "SELECT plot_key, round(polygon_area_ha, 4) AS polygon_area_ha, round(cx, 5) AS lon, round(cy, 5) AS lat FROM plots"
 ORACLES["parcel_neighbours"] = _with(PLOTS, f"""near AS (SELECT a.plot_key, b.plot_key AS neighbour,
   sqrt(power((b.cx - a.cx) * {_M} * cos(radians(a.cy)), 2) + power((b.cy - a.cy) * {_M}, 2)) AS dist
   FROM plots a JOIN plots b ON a.plot_key <> b.plot_key AND abs(a.cy - b.cy) < 0.004 AND abs(a.cx - b.cx) < 0.005)""") + \

@@ -164,7 +164,11 @@ def br1_mandatory(spark, sf):
 
 @query
 def br2_sub_plots(spark, sf):
-    return _brief(_findings(spark, sf, ["BR-2"], sub_plots=d.sub_plots(spark, sf)))
+    values = F.col("conflicting_values")
+    return _findings(spark, sf, ["BR-2"], sub_plots=d.sub_plots(spark, sf)).select(
+        "id", "rule_id", "severity", values["parent_area_ha"].cast("double").alias("parent_area_ha"),
+        values["difference_ha"].cast("double").alias("difference_ha"),
+        F.coalesce(values["child_records"], values["sub_plots"]).cast("long").alias("children"))
 
 
 @query
@@ -279,8 +283,8 @@ def parcel_link(spark, sf):
 @query
 def parcel_area(spark, sf):
     return parcels.measure(d.cadastral(spark, sf)).select(
-        "plot_key", F.round("polygon_area_ha", 4).alias("polygon_area_ha"), F.round("centroid.lon", 6).alias("lon"),
-        F.round("centroid.lat", 6).alias("lat"))
+        "plot_key", F.round("polygon_area_ha", 4).alias("polygon_area_ha"), F.round("centroid.lon", 5).alias("lon"),
+        F.round("centroid.lat", 5).alias("lat"))
 
 
 @query

@@ -6,11 +6,14 @@ queries can build the same inputs independently of the operators under test.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terralith import vocab
-from terralith.functions import geo, text
+from terralith import config, vocab
+from terralith.functions import text
 from terralith.functions.geo import box_ring
 
 AS_OF = "2001-08-05 00:00:00"
@@ -112,7 +115,7 @@ RECORD_COLUMNS: dict[str, str] = {
     "created_at": "o_orderdate + interval '1' second * cast(o_orderkey % 86400 as int)",
 }
 
-# hectares as a CASE over the derived units, for the oracle side and the Spark-side cross-check
+# deed references with their parties
 DEED_COLUMNS: dict[str, str] = {
     "deed_key": f"concat(cast(o_custkey as string), '/', {_Y})",
     "party_1": person("o_custkey"),
@@ -170,9 +173,36 @@ def _project(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df.selectExpr(*[f"{expr} as {name}" for name, expr in columns.items()])
 
 
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def _stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A derived table, written once per application to the shared checkpoint folder and read from there.
+
+    It stands for a stored table: queries that read it several times prune and filter at its
+    scan, and a lost executor re-reads files instead of deriving the rows again.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED:
+        path = f"{config.checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        build().write.parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])
+
+
+def _spread(df: DataFrame, key: str) -> DataFrame:
+    """Spread a table of few, small files over the cluster before costly expressions; leave a large one as it is."""
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(width, key) if df.rdd.getNumPartitions() < width else df
+
+
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored(spark, sf_dir, "records", lambda: derive_records(spark, sf_dir))
+
+
+def derive_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One land record per order, with hectares and parent plot computed by the operators."""
-    joined = (table(spark, sf_dir, "orders")
+    joined = (_spread(table(spark, sf_dir, "orders"), "o_orderkey")
               .join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
               .join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")))
     base = _project(joined, RECORD_COLUMNS)
@@ -224,6 +254,10 @@ def field_confidence(position: int, key: str = "id") -> Column:
 
 
 def extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored(spark, sf_dir, "extractions", lambda: derive_extractions(spark, sf_dir))
+
+
+def derive_extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long field table of the records: one row per (record, field)."""
     base = records(spark, sf_dir)
     cells = []
