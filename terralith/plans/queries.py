@@ -36,6 +36,10 @@ def _local(spark, sf) -> DataFrame:
     return _findings(spark, sf, rules.LOCAL_RULES)
 
 
+def _local_counts(spark, sf) -> DataFrame:
+    return _findings(spark, sf, rules.LOCAL_RULES, brief=True)
+
+
 def _brief(found: DataFrame) -> DataFrame:
     return found.select("id", "rule_id", "severity", "expected", "actual", "message", "occurrences")
 
@@ -45,7 +49,8 @@ def _brief(found: DataFrame) -> DataFrame:
 def review_queue(spark, sf):
     """Rules, rollup and the reviewers' queue."""
     records = d.records(spark, sf)
-    found = rules.run_rules(records, [*rules.LOCAL_RULES, "BR-2", "BR-3"], CTX)
+    found = rules.run_rules(records, [*rules.LOCAL_RULES, "BR-2", "BR-3"],
+                            rules.Context(as_of=CTX.as_of, brief=True))
     out = search.review_queue(rules.with_rollup(records, found), limit=200)
     return out.select("record_id", "khasra_no", "village", "discrepancy_count", "highest_severity", "record_confidence", "priority")
 
@@ -219,14 +224,14 @@ def br10_registration(spark, sf):
 
 @query
 def rule_matrix(spark, sf):
-    matrix = rules.rule_matrix(d.records(spark, sf), _local(spark, sf))
+    matrix = rules.rule_matrix(d.records(spark, sf), _local_counts(spark, sf))
     return matrix.groupBy("rule_id", "passed").agg(F.count("*").alias("records"), F.sum("findings").alias("findings"))
 
 
 @query
 def all_rules(spark, sf):
     """All ten rules over all records, counted by rule and severity."""
-    found = _findings(spark, sf, None, sub_plots=d.sub_plots(spark, sf), cadastral=d.cadastral(spark, sf))
+    found = _findings(spark, sf, None, sub_plots=d.sub_plots(spark, sf), cadastral=d.cadastral(spark, sf), brief=True)
     return metrics.rule_severity(found)
 
 
@@ -239,7 +244,7 @@ def evidence(spark, sf):
 
 @query
 def finding_rollup(spark, sf):
-    return rules.rollup(_local(spark, sf))
+    return rules.rollup(_local_counts(spark, sf))
 
 
 @query
@@ -335,14 +340,14 @@ def cross_status(spark, sf):
 # ------------------------------------------------------------------ metrics
 @query
 def mis_snapshot(spark, sf):
-    records, found = d.records(spark, sf), _local(spark, sf)
+    records, found = d.records(spark, sf), _local_counts(spark, sf)
     linked = parcels.link_records(rules.with_rollup(records, found), d.cadastral(spark, sf))
     return metrics.snapshot(linked, d.documents(spark, sf), found, d.corrections(spark, sf), d.audit_entries(spark, sf))
 
 
 @query
 def rule_severity(spark, sf):
-    return metrics.rule_severity(_local(spark, sf))
+    return metrics.rule_severity(_local_counts(spark, sf))
 
 
 @query
@@ -438,21 +443,22 @@ def corrections_per_field(spark, sf):
 def revalidate(spark, sf):
     """Findings after the corrections, by rule and severity (row-local rules)."""
     result = _corrected(spark, sf)
-    found = changes.revalidate(result["records"], result["changed"], _local(spark, sf), CTX, rules.LOCAL_RULES)
+    found = changes.revalidate(result["records"], result["changed"], _local_counts(spark, sf),
+                               rules.Context(as_of=CTX.as_of, brief=True), rules.LOCAL_RULES)
     return metrics.rule_severity(found)
 
 
 @query
 def decide(spark, sf):
     records = d.records(spark, sf)
-    found = _local(spark, sf)
+    found = _local_counts(spark, sf)
     return changes.decide(records, found, d.decisions(spark, sf), F.lit(d.AS_OF).cast("timestamp"))["records"].select(
         "record_id", "status", "document_status")
 
 
 @query
 def refused_approvals(spark, sf):
-    return changes.decide(d.records(spark, sf), _local(spark, sf), d.decisions(spark, sf),
+    return changes.decide(d.records(spark, sf), _local_counts(spark, sf), d.decisions(spark, sf),
                           F.lit(d.AS_OF).cast("timestamp"))["refused"]
 
 
@@ -466,7 +472,7 @@ def merge_suggestions(spark, sf):
 
 @query
 def notify_fanout(spark, sf):
-    rolled = rules.with_rollup(d.records(spark, sf), _local(spark, sf))
+    rolled = rules.with_rollup(d.records(spark, sf), _local_counts(spark, sf))
     sent = notifications.fan_out(notifications.high_severity_events(rolled), d.users(spark, sf))
     return metrics.unread_counts(sent)
 
