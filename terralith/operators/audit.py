@@ -43,8 +43,8 @@ def with_predecessor(df: DataFrame, column: str, out: str, default: str, chunk:
     own = base.withColumn("_lag", F.lag(column).over(inside)).withColumn("_first", F.row_number().over(inside) == 1)
     lasts = base.groupBy("_chunk").agg(F.max_by(column, "id").alias("_last"))
     if levels > 1:
-        carried = with_predecessor(lasts.select(F.col("_chunk").alias("id"), "_last"), "_last", "_carry", default,
-                                   chunk, levels - 1).select(F.col("id").alias("_chunk"), "_carry")
+        carried = with_predecessor(lasts.select(F.col("_chunk").alias("id"), "_last"), "_last", "carried", default,
+                                   chunk, levels - 1).select(F.col("id").alias("_chunk"), F.col("carried").alias("_carry"))
     else:
         # one row per chunk * chunk ids is left here
         carried = lasts.withColumn("_carry", F.coalesce(F.lag("_last").over(
