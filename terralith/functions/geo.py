@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from terralith.config import M_PER_DEG_LAT
+from terralith.functions.text import half_up
 
 
 def _edges(ring: Column) -> Column:
@@ -62,7 +63,7 @@ def polygon_area_ha(rings: Column, centroid: Column) -> Column:
     """Hectares on a local equirectangular projection at the centroid's latitude; holes subtracted."""
     degrees = _sum(F.transform(rings, lambda r, i: F.when(i == 0, 1.0).otherwise(-1.0) * ring_area_deg(r)))
     area = degrees * metres_per_lon(centroid["lat"]) * M_PER_DEG_LAT / 10_000.0
-    return F.coalesce(F.round(area, 6), F.lit(0.0))
+    return F.coalesce(half_up(area, 6), F.lit(0.0))
 
 
 def box_ring(target_ha: Column, lon: Column, lat: Column, aspect: float = 1.25) -> Column:

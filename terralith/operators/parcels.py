@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from terralith import config
 from terralith.functions import geo
-from terralith.functions.text import is_set
+from terralith.functions.text import half_up, is_set
 
 KEY_ORDER = ["khasra_no", "survey_no", "plot_no"]
 
@@ -45,7 +45,7 @@ def link_records(records: DataFrame, cadastral: DataFrame) -> DataFrame:
                    (F.col("polygon_area_ha") - area) / area * 100).otherwise(0.0)
     return linked.withColumns({
         "gis_linked": F.col("match_type").isNotNull(),
-        "area_delta_pct": F.round(delta, 2),
+        "area_delta_pct": half_up(delta, 2),
         "spatial_mismatch": F.abs(delta) > config.GIS_TOLERANCE_PCT,
         "match_type": F.coalesce("match_type", F.lit("none")),
         "plot_key": F.coalesce("plot_key", F.lit("")),

@@ -33,7 +33,7 @@ def _factor(unit: str) -> str:
 
 RECORDS = (
     "rec0 AS (" + _select(d.RECORD_COLUMNS, "orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey")
-    + f"), records AS (SELECT *, coalesce(round(area_value * ({_factor('area_unit')}), 6), 0) AS area_hectare, "
+    + f"), records AS (SELECT *, coalesce(round(area_value * ({_factor('area_unit')}) + 1e-9::DOUBLE, 6), 0) AS area_hectare, "
       "CASE WHEN khasra_no LIKE '%/%' THEN split_part(khasra_no, '/', 1) ELSE '' END AS parent_khasra_no, "
       "'Odisha' AS state, array_to_string(list_sort(string_split(lower(trim(owner_name)), ' ')), ' ') AS sorted FROM rec0)")
 DOCS = "docs AS (" + _select({**d.DOCUMENT_COLUMNS, "file_hash": "sha256(text)"}, "documents") + ")"
@@ -47,7 +47,7 @@ PLOTS = PLOTS0 + f""", plots1 AS (
     round(lat + sqrt(area_ha * 10000 / 1.25::DOUBLE) / {_M}, 7) AS y2 FROM plots0
 ), plots AS (
   SELECT *, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy,
-    round((x2 - x1) * (y2 - y1) * {_M} * {_M} * cos(radians((y1 + y2) / 2)) / 10000, 6) AS polygon_area_ha FROM plots1
+    round((x2 - x1) * (y2 - y1) * {_M} * {_M} * cos(radians((y1 + y2) / 2)) / 10000 + 1e-9::DOUBLE, 6) AS polygon_area_ha FROM plots1
 )"""
 KEYS = """keys AS (
   SELECT key_type, key, min(ord) AS ord FROM (
@@ -64,7 +64,7 @@ LINKS = KEYS + """, links AS (
     LEFT JOIN keys k3 ON k3.key_type = 'plot_no' AND k3.key = r.plot_no
     LEFT JOIN plots p ON p.ord = coalesce(k1.ord, k2.ord, k3.ord))"""
 SUBS = """subs AS (SELECT concat('LR-', cast(l_orderkey AS string)) AS record_id,
-  round(sum(round(l_quantity * 0.00404686::DOUBLE, 6)), 6) AS declared_sum, count(*) AS declared_count FROM lineitem GROUP BY 1)"""
+  round(sum(round(l_quantity * 0.00404686::DOUBLE + 1e-9::DOUBLE, 6)) + 1e-9::DOUBLE, 6) AS declared_sum, count(*) AS declared_count FROM lineitem GROUP BY 1)"""
 LEDGER = "ledger AS (" + _select(d.LEDGER_COLUMNS, "customer") + ")"
 DEEDS = ("deeds AS (SELECT deed_key, arg_min([party_1, party_2], ord) AS parties, arg_min(year, ord) AS year FROM ("
          + _select(d.DEED_COLUMNS, "orders WHERE o_orderkey % 2 = 1") + ") GROUP BY 1)")
@@ -158,7 +158,7 @@ _UNIT = "regexp_extract(area_raw, '\\d+(?:\\.\\d+)?\\s*([A-Za-z]+)', 1)"
 _RAW_FACTOR = f"CASE {_UNIT} " + " ".join(
     f"WHEN {_text(u.rstrip('.'))} THEN {_FACTORS[k]!r}::DOUBLE" for u, k in _USED.items() if " " not in u) + " ELSE NULL END"
 BR6 = f"""units AS (SELECT id, area_raw, {_UNIT} AS unit, {_RAW_FACTOR} AS factor,
-    round(try_cast(regexp_extract(area_raw, '\\d+(?:\\.\\d+)?') AS double) * ({_RAW_FACTOR}), 6) AS ha FROM records WHERE area_raw <> ''),
+    round(try_cast(regexp_extract(area_raw, '\\d+(?:\\.\\d+)?') AS double) * ({_RAW_FACTOR}) + 1e-9::DOUBLE, 6) AS ha FROM records WHERE area_raw <> ''),
   br6 AS (SELECT id, 'BR-6' AS rule_id, 'medium' AS severity, 'a known unit (acre, hectare, decimal, bigha, katha, guntha, kanal...)' AS expected,
     unit AS actual, concat('Area unit ''', unit, ''' is not a known land measurement unit; area cannot be standardised.') AS message, 1::BIGINT AS occurrences
     FROM units WHERE unit <> '' AND factor IS NULL
@@ -277,9 +277,9 @@ ORACLES["box_containment"] = _with(BOXES) + """SELECT label, count(*) AS n FROM
 # ------------------------------------------------------------------ rules
 ORACLES["br1_mandatory"] = _with(RECORDS, BR1) + f"SELECT {_BRIEF} FROM br1"
 ORACLES["br2_sub_plots"] = _with(RECORDS, CHILDREN, SUBS) + f"""
-SELECT id, 'BR-2' AS rule_id, 'high' AS severity, area_hectare AS parent_area_ha, round(abs(round(child_sum, 6) - area_hectare), 4) AS difference_ha, child_count AS children
+SELECT id, 'BR-2' AS rule_id, 'high' AS severity, area_hectare AS parent_area_ha, round(abs(round(child_sum, 6) - area_hectare) + 1e-7::DOUBLE, 4) AS difference_ha, child_count AS children
   FROM records JOIN children USING (khasra_no) WHERE {_OFF.format(s='round(child_sum, 6)')}
-UNION ALL SELECT id, 'BR-2', 'high', area_hectare, round(abs(declared_sum - area_hectare), 4), declared_count FROM records JOIN subs USING (record_id) WHERE {_OFF.format(s='declared_sum')}"""
+UNION ALL SELECT id, 'BR-2', 'high', area_hectare, round(abs(declared_sum - area_hectare) + 1e-7::DOUBLE, 4), declared_count FROM records JOIN subs USING (record_id) WHERE {_OFF.format(s='declared_sum')}"""
 ORACLES["br3_duplicates"] = _with(RECORDS, PLOT_NAMES, LCS, BR3, recursive=True) + "SELECT id, rule_id, severity, occurrences, identifier FROM br3"
 ORACLES["br4_chronology"] = _with(RECORDS, DATED, BR4) + f"SELECT {_BRIEF} FROM br4"
 _SORTED = "array_to_string(list_sort(string_split(lower({c}), ' ')), ' ')"
@@ -293,8 +293,8 @@ UNION ALL SELECT id, 'BR-5', 'medium', 'a prior record naming the previous owner
   WHERE previous_owner <> '' AND khasra_no <> '' AND NOT EXISTS (SELECT 1 FROM records o WHERE o.khasra_no = m.khasra_no AND lower(o.owner_name) = lower(m.previous_owner) AND o.id <> m.id)"""
 ORACLES["br6_units"] = _with(RECORDS, BR6) + f"SELECT {_BRIEF} FROM br6"
 ORACLES["br7_admin"] = _with(RECORDS, MASTER, BR7) + f"SELECT {_BRIEF} FROM br7"
-ORACLES["br9_boundary"] = _with(RECORDS, PLOTS, LINKS) + """SELECT id, 'BR-9' AS rule_id, CASE WHEN abs(round(delta, 2)) > 25 THEN 'high' ELSE 'medium' END AS severity,
-  plot_key, round(delta, 2) AS delta_pct FROM links WHERE match_type <> 'none' AND abs(round(delta, 2)) > 15"""
+ORACLES["br9_boundary"] = _with(RECORDS, PLOTS, LINKS) + """SELECT id, 'BR-9' AS rule_id, CASE WHEN abs(round(delta + 1e-5::DOUBLE, 2)) > 25 THEN 'high' ELSE 'medium' END AS severity,
+  plot_key, round(delta + 1e-5::DOUBLE, 2) AS delta_pct FROM links WHERE match_type <> 'none' AND abs(round(delta + 1e-5::DOUBLE, 2)) > 15"""
 ORACLES["br10_registration"] = _with(RECORDS, BR10) + f"SELECT {_BRIEF} FROM br10"
 ORACLES["rule_matrix"] = _local("ids AS (SELECT * FROM " + _values([(r[0],) for r in vocab.RULES]) + " AS t(rule_id))",
     "per AS (SELECT r.id, i.rule_id, coalesce(sum(l.occurrences), 0) AS n FROM records r CROSS JOIN ids i LEFT JOIN local l ON l.id = r.id AND l.rule_id = i.rule_id GROUP BY 1, 2)") + \
@@ -322,13 +322,13 @@ SELECT record_id, khasra_no, day, previous_owner, new_owner, p AS prior_new_owne
 ORACLES["chain_gap"] = _with(RECORDS) + """SELECT record_id, khasra_no, previous_owner FROM records m WHERE previous_owner <> '' AND khasra_no <> ''
   AND NOT EXISTS (SELECT 1 FROM records o WHERE o.khasra_no = m.khasra_no AND lower(o.owner_name) = lower(m.previous_owner) AND o.id <> m.id)"""
 ORACLES["sub_plot_sum"] = _with(SUBS) + "SELECT record_id, declared_sum, declared_count FROM subs"
-ORACLES["child_sum"] = _with(RECORDS, CHILDREN) + "SELECT khasra_no, round(child_sum, 4) AS child_sum, child_count FROM children"
+ORACLES["child_sum"] = _with(RECORDS, CHILDREN) + "SELECT khasra_no, round(child_sum + 1e-7::DOUBLE, 4) AS child_sum, child_count FROM children"
 ORACLES["parent_area"] = _with(RECORDS) + """SELECT c.parent_khasra_no, c.record_id, c.area_hectare, p.area AS parent_area_hectare FROM records c
   LEFT JOIN (SELECT khasra_no, arg_min(area_hectare, id) AS area FROM records WHERE khasra_no <> '' GROUP BY 1) p ON p.khasra_no = c.parent_khasra_no WHERE c.parent_khasra_no <> ''"""
 
 # ------------------------------------------------------------------ parcels
-ORACLES["parcel_link"] = _with(RECORDS, PLOTS, LINKS) + "SELECT record_id, match_type, plot_key, round(delta, 2) AS area_delta_pct, abs(delta) > 15 AS spatial_mismatch FROM links"
-ORACLES["parcel_area"] = _with(PLOTS) + "SELECT plot_key, round(polygon_area_ha, 4) AS polygon_area_ha, round(cx, 5) AS lon, round(cy, 5) AS lat FROM plots"
+ORACLES["parcel_link"] = _with(RECORDS, PLOTS, LINKS) + "SELECT record_id, match_type, plot_key, round(delta + 1e-5::DOUBLE, 2) AS area_delta_pct, abs(delta) > 15 AS spatial_mismatch FROM links"
+ORACLES["parcel_area"] = _with(PLOTS) + "SELECT plot_key, round(polygon_area_ha + 1e-7::DOUBLE, 4) AS polygon_area_ha, round(cx + 1e-8::DOUBLE, 5) AS lon, round(cy + 1e-8::DOUBLE, 5) AS lat FROM plots"
 ORACLES["parcel_neighbours"] = _with(PLOTS, f"""near AS (SELECT a.plot_key, b.plot_key AS neighbour,
   sqrt(power((b.cx - a.cx) * {_M} * cos(radians(a.cy)), 2) + power((b.cy - a.cy) * {_M}, 2)) AS dist
   FROM plots a JOIN plots b ON a.plot_key <> b.plot_key AND abs(a.cy - b.cy) < 0.004 AND abs(a.cx - b.cx) < 0.005)""") + \
@@ -398,7 +398,7 @@ _CHANGED = """hit AS (SELECT *, id % 3 = 0 AND village <> 'Balarampur' AS v_new,
     FROM fields f JOIN hit USING (record_id) WHERE value <> '' OR (f.field_name = 'area' AND a_new) GROUP BY 1)"""
 ORACLES["apply_corrections"] = _with(RECORDS, _fields(), _CHANGED) + """SELECT record_id, CASE WHEN v_new THEN 'Balarampur' ELSE village END AS village,
   round(CASE WHEN a_new THEN 1.5 ELSE area_value END, 2) AS area_value, CASE WHEN a_new THEN 'acre' ELSE area_unit END AS area_unit,
-  CASE WHEN a_new THEN round(1.5::DOUBLE * 0.404686::DOUBLE, 6) ELSE area_hectare END AS area_hectare, s AS record_confidence
+  CASE WHEN a_new THEN round(1.5::DOUBLE * 0.404686::DOUBLE + 1e-9::DOUBLE, 6) ELSE area_hectare END AS area_hectare, s AS record_confidence
   FROM hit JOIN score USING (record_id) WHERE v_new OR a_new"""
 ORACLES["correction_pairs"] = _with(RECORDS, _fields(), _CHANGED) + """SELECT record_id, 'village' AS field_name, 'Balarampur' AS corrected_value, f.confidence AS ai_confidence
   FROM hit JOIN fields f USING (record_id) WHERE v_new AND f.field_name = 'village' UNION ALL SELECT record_id, 'area', '1.5 acre', 0.0::DOUBLE FROM hit WHERE a_new"""

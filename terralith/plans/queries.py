@@ -270,7 +270,7 @@ def sub_plot_sum(spark, sf):
 @query
 def child_sum(spark, sf):
     sums = rules.child_sums(d.records(spark, sf))
-    return sums.select("khasra_no", F.round("child_sum", 4).alias("child_sum"), "child_count")
+    return sums.select("khasra_no", text.half_up(F.col("child_sum"), 4).alias("child_sum"), "child_count")
 
 
 @query
@@ -288,8 +288,8 @@ def parcel_link(spark, sf):
 @query
 def parcel_area(spark, sf):
     return parcels.measure(d.cadastral(spark, sf)).select(
-        "plot_key", F.round("polygon_area_ha", 4).alias("polygon_area_ha"), F.round("centroid.lon", 5).alias("lon"),
-        F.round("centroid.lat", 5).alias("lat"))
+        "plot_key", text.half_up(F.col("polygon_area_ha"), 4).alias("polygon_area_ha"), text.half_up(F.col("centroid.lon"), 5).alias("lon"),
+        text.half_up(F.col("centroid.lat"), 5).alias("lat"))
 
 
 @query
