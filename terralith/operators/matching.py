@@ -20,6 +20,7 @@ from terralith.functions.text import is_set
 
 EPS = 1e-9
 MAX_NAME = 200
+SMALL_SCOPE = 16  # up to this many names a plot or village is compared directly
 
 
 # ------------------------------------------------------------------ candidate generation
@@ -174,8 +175,16 @@ def _both_ways(pairs: DataFrame) -> DataFrame:
 
 def similar_names(names: DataFrame, scope: list[str], low: float, high: float | None = None) -> DataFrame:
     """(scope, a, b, score) for token-sorted names with low <= ratio (< high), both directions, a <> b."""
+    named = names.where(F.col("sorted") != "").select(*scope, "sorted")
+    sizes = named.groupBy(*scope).agg(F.count("*").alias("size"))
+    few = named.join(sizes.where((F.col("size") > 1) & (F.col("size") <= SMALL_SCOPE)).select(*scope), scope, "left_semi")
+    many = named.join(sizes.where(F.col("size") > SMALL_SCOPE).select(*scope), scope, "left_semi")
+    edits = _max_edits(F.length("a"), F.length("b"), low)
+    direct = (few.withColumnRenamed("sorted", "a").join(few.withColumnRenamed("sorted", "b"), scope)
+              .where((F.col("a") < F.col("b")) & (F.call_function("levenshtein", F.col("a"), F.col("b"), edits) >= 0)))
     ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
-    scored = (whole_candidates(names, scope, "sorted", low).select(*scope, *ordered).distinct()
+    blocked = whole_candidates(many, scope, "sorted", low).select(*scope, *ordered).distinct()
+    scored = (direct.select(*scope, "a", "b").unionByName(blocked)
               .withColumn("score", ratio_of_sorted("a", "b"))
               .where(F.col("score") >= low - EPS))
     if high is not None:
