@@ -235,7 +235,7 @@ def deeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cadastral(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = _project(table(spark, sf_dir, "part"), PLOT_COLUMNS)
+    base = _project(_spread(table(spark, sf_dir, "part"), "p_partkey"), PLOT_COLUMNS)
     ring = box_ring(F.col("area_ha"), F.col("lon"), F.col("lat"), vocab.PLOT_ASPECT)
     return base.withColumn("rings", F.array(ring)).drop("lon", "lat")
 
