@@ -6,10 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from terralith.llm.common import documents
 from terralith.llm.exact_dedup import exact_groups
+from terralith.llm.ngram_join import near_groups
 from terralith.llm.substring_dedup import remove_repeated_windows
 from terralith.llm.suffix_dedup import remove_repeated_bytes
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(documents(spark, sf_dir), shingle=3, similarity=(9, 10)).select(
+        "doc_id", "n_shingles", "component_id")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir))
 
@@ -23,7 +29,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op5_exact_dedup, op6_substring_dedup, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op3_ngram_join, op5_exact_dedup, op6_substring_dedup, op10_suffix_dedup)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
