@@ -155,16 +155,16 @@ def minimum_places(values: np.ndarray, width: int) -> np.ndarray:
     return (low - (np.minimum(back[:n], ahead[width - 1:width - 1 + n]) & low)).astype(np.int64)
 
 
-def text_chunks(batches: Iterable[pa.RecordBatch], lower: bool = False,
+def text_chunks(batches: Iterable[pa.RecordBatch], lower: bool = False, column: str = "text",
                 limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of record batches holding about `limit` bytes in column `text`, with the texts as UTF-8 (null: empty)."""
+    """Slices of record batches holding about `limit` bytes in one column, with the texts as UTF-8 (null: empty)."""
     for batch in batches:
-        column = batch.column(batch.schema.get_field_index("text"))
+        values = batch.column(batch.schema.get_field_index(column))
         at = 0
         while at < batch.num_rows:
             texts, size, to = [], 0, at
             while to < batch.num_rows and (size < limit or to == at):
-                value = column[to].as_buffer()
+                value = values[to].as_buffer()
                 raw = value.to_pybytes() if value is not None else b""
                 texts.append(raw.lower() if lower else raw)
                 size += len(raw) + 1

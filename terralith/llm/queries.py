@@ -3,19 +3,36 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from terralith.llm.common import documents
 from terralith.llm.exact_dedup import exact_groups
+from terralith.llm.fingerprints import with_edits
+from terralith.llm.license_scan import scan
+from terralith.llm.mixing import DIGITS, SEED, mix
 from terralith.llm.ngram_join import near_groups
+from terralith.llm.quality import THRESHOLD, fit, is_held_out, score
 from terralith.llm.substring_dedup import remove_repeated_windows
 from terralith.llm.suffix_dedup import remove_repeated_bytes
 
 
+#: Target shares: the largest source of a crawl is held down, the others share evenly.
+MIX_WEIGHTS = {f"src{i}": 2.0 if i == 0 else 1.0 for i in range(20)}
+
+
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(documents(spark, sf_dir), MIX_WEIGHTS)
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(documents(spark, sf_dir), shingle=3, similarity=(9, 10)).select(
         "doc_id", "n_shingles", "component_id")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(documents(spark, sf_dir))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir))
 
@@ -29,11 +46,42 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op3_ngram_join, op5_exact_dedup, op6_substring_dedup, op10_suffix_dedup)}
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_edits(documents(spark, sf_dir))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score(docs, model).select(
+        "doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op2_mix_sources, op3_ngram_join, op4_license_scan, op5_exact_dedup, op6_substring_dedup, op8_fingerprints, op9_quality,
+    op10_suffix_dedup)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES = {
+    "op2_mix_sources": f"""
+WITH RECURSIVE weights AS (
+  SELECT 'src' || i AS source, CASE WHEN i = 0 THEN 2.0 ELSE 1.0 END::DOUBLE AS w FROM range(20) r(i)),
+sizes AS (SELECT source, count(*)::DOUBLE AS n FROM documents JOIN weights USING (source) GROUP BY source),
+rates AS (
+  SELECT source, w / (SELECT sum(w) FROM weights JOIN sizes USING (source)) * (SELECT sum(n) FROM sizes) / n AS r
+  FROM sizes JOIN weights USING (source)),
+steps AS (
+  SELECT source, k, sum(exp(k * ln(r) - r - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS p
+  FROM rates, range(0, 200) t(k)),
+drawn AS (
+  SELECT *, ('0x' || substr(md5('{SEED}:' || doc_id), 1, {DIGITS}))::BIGINT / 16.0::DOUBLE ** {DIGITS} AS u
+  FROM documents),
+counted AS (
+  SELECT doc_id, count(*) AS n FROM drawn JOIN steps USING (source) WHERE u >= p GROUP BY doc_id)
+SELECT documents.*, c::INT AS copy, md5('{SEED}:' || doc_id || ':' || c) AS shuffle_key
+FROM documents JOIN counted USING (doc_id), range(0, n) t(c)""",
     "op5_exact_dedup": f"""
 WITH d AS (SELECT doc_id, {_LOWER} AS t FROM documents),
 g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
