@@ -12,14 +12,21 @@ from terralith.llm.license_scan import scan
 from terralith.llm.mixing import DIGITS, SEED, mix
 from terralith.llm.ngram_join import near_groups
 from terralith.llm.quality import THRESHOLD, fit, is_held_out, score
+from terralith.llm.sentencepiece_nbest import encode
 from terralith.llm.substring_dedup import remove_repeated_windows
 from terralith.llm.suffix_dedup import remove_repeated_bytes
+from terralith.llm.token_counts import document_tokens
 
 
 #: Target shares: the largest source of a crawl is held down, the others share evenly.
 MIX_WEIGHTS = {f"src{i}": 2.0 if i == 0 else 1.0 for i in range(20)}
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(documents(spark, sf_dir).select("doc_id", "text")).select(
+        "doc_id", F.size("ids").alias("n_pieces"), "nbest_scores", "ids", "round_trip")
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir), MIX_WEIGHTS)
 
@@ -46,6 +53,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_tokens(documents(spark, sf_dir))
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_edits(documents(spark, sf_dir))
 
@@ -59,8 +70,8 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_mix_sources, op3_ngram_join, op4_license_scan, op5_exact_dedup, op6_substring_dedup, op8_fingerprints, op9_quality,
-    op10_suffix_dedup)}
+    op1_sentencepiece, op2_mix_sources, op3_ngram_join, op4_license_scan, op5_exact_dedup, op6_substring_dedup,
+    op7_token_counts, op8_fingerprints, op9_quality, op10_suffix_dedup)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 

@@ -1,9 +1,8 @@
 """Substring dedup over words: every window of fixed length is hashed by Rabin-Karp and counted in Spark.
 
-Counting is done in two steps that give the counts of all windows. Each window is represented by the smallest hash
-among the shorter word runs in it (its anchor), and equal windows have equal anchors. Anchors are counted first: a
-window whose anchor stands at one place only cannot occur twice, its count is one. The hashes of all other windows are
-counted next. Neighbouring windows share anchors, so a tenth of the rows are shuffled.
+Neighbouring windows that go by the same anchor are counted as one stretch, and one by one only where stretches with
+that anchor differ (see `stretches`): the counts are those of all windows, with a tenth of the rows shuffled. Repeated
+windows merge into maximal removal intervals.
 """
 
 from __future__ import annotations
@@ -16,74 +15,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terralith.llm.common import WORD_POWERS, Words, keyed, minimum_places, prefix, rolling, stored, text_chunks
+from terralith.llm.common import WORD_POWERS, Words, keyed, prefix, rolling, text_chunks
+from terralith.llm.stretches import counted_runs, covered, cut_stretches, with_repeats
 
 WINDOW_WORDS = 35
 
 
-def _anchors(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all anchor runs, and for each window the place of its anchor."""
-    runs = rolling(prefix(words, WORD_POWERS), window // 2 + 1, WORD_POWERS)
-    return runs, minimum_places(runs, window - window // 2)
+def _sums(texts: list[bytes]) -> list[np.ndarray]:
+    words = Words(texts)
+    return [prefix(words.of(i), WORD_POWERS) for i in range(len(texts))]
 
 
-def _anchor_rows(window: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_chunks(batches):
-            table, ids = Words(texts), batch.column("row_id").to_numpy()
-            hashes, rows, places = [], [], []
-            for i, row in enumerate(ids):
-                words = table.of(i)
-                if len(words) >= window:
-                    runs, at = _anchors(words, window)
-                    at = np.unique(at)
-                    hashes.append(runs[at])
-                    places.append(at)
-                    rows.append(np.full(len(at), row, dtype=np.int64))
-            if hashes:
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(rows)),
-                    pa.array(np.concatenate(places).astype(np.int32))], names=["anchor", "row_id", "place"])
-    return run
-
-
-def _window_rows(window: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_chunks(batches):
-            table, ids, wanted = Words(texts), batch.column("row_id").to_numpy(), batch.column("places")
-            hashes, rows, places = [], [], []
-            for i, row in enumerate(ids):
-                words = table.of(i)
-                _, at = _anchors(words, window)
-                start = np.flatnonzero(np.isin(at, wanted[i].values.to_numpy()))
-                hashes.append(rolling(prefix(words, WORD_POWERS), window, WORD_POWERS)[start])
-                places.append(start.astype(np.int32))
-                rows.append(np.full(len(start), row, dtype=np.int64))
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(rows)),
-                pa.array(np.concatenate(places))], names=["hash", "row_id", "place"])
+def _slices(window: int):
+    def run(texts: list[bytes], wanted: list[list[tuple[int, int]]]) -> list[list[bytes]]:
+        words = Words(texts)
+        return [[words.of(i)[f:f + n + window - 1].tobytes() for f, n in each] for i, each in enumerate(wanted)]
     return run
 
 
-def _repeated(df: DataFrame, key: str) -> DataFrame:
-    """(row_id, places) of the rows whose key occurs more than once; counted before anything is joined."""
-    counts = df.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key)
-    return df.join(counts, key, "left_semi").groupBy("row_id").agg(F.collect_list("place").alias("places"))
+def _windows(window: int):
+    return lambda tokens: rolling(prefix(np.frombuffer(tokens, dtype=np.uint64), WORD_POWERS), window, WORD_POWERS)
 
 
 def _cut(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_chunks(batches):
-            starts = batch.column("places")
+            runs = batch.column("runs")
             out = []
             for i, text in enumerate(texts):
                 words = text.split()
-                gone = np.zeros(len(words) + 1, dtype=np.int32)
-                if starts[i].is_valid:
-                    at = starts[i].values.to_numpy()
-                    np.add.at(gone, at, 1)
-                    np.add.at(gone, at + window, -1)
-                gone = np.cumsum(gone)[:-1] > 0
+                gone = covered(runs[i], len(words), window)
                 edge = np.flatnonzero(np.diff(gone, prepend=False, append=False))
                 kept = b" ".join(w for w, g in zip(words, gone.tolist()) if not g)
                 out.append((len(words), int(gone.sum()), edge[0::2].tolist(), edge[1::2].tolist(), kept.decode(),
@@ -106,11 +67,8 @@ def remove_repeated_windows(df: DataFrame, text: str = "text", doc_id: str = "do
     """
     ids = df.schema[doc_id].dataType.simpleString()
     texts = keyed(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "doc_id")
-    anchors = texts.select("row_id", "text").mapInArrow(_anchor_rows(window), "anchor long, row_id long, place int")
-    marked = stored(_repeated(anchors, "anchor"), "anchors")
-    windows = texts.select("row_id", "text").join(marked, "row_id").mapInArrow(
-        _window_rows(window), "hash long, row_id long, place int")
-    repeats = stored(_repeated(windows, "hash"), "windows")
-    return texts.join(repeats, "row_id", "left").select("doc_id", "text", "places").mapInArrow(
+    marked = with_repeats(texts, _sums, window, window // 2 + 1, WORD_POWERS, cut_stretches(_slices(window)),
+                          lambda distinct: counted_runs(distinct, _windows(window)))
+    return marked.select("doc_id", "text", "runs").mapInArrow(
         _cut(window), f"doc_id {ids}, n_words long, n_removed long, span_start array<int>, span_end array<int>, "
         "kept_text string, kept_sha256 string")

@@ -1,8 +1,7 @@
 """Byte-exact substring dedup with suffix arrays of collections, built column by column.
 
-Equal strings of `size` bytes are brought together first: each is represented by the smallest hash among the shorter
-byte runs in it (its anchor). Neighbouring strings with one anchor form a stretch; stretches whose anchor stands at one
-place in the corpus cannot repeat. The distinct stretches of the other anchors are the documents of bounded collections.
+Equal strings of `size` bytes are brought together first (see `stretches`): those of one anchor form stretches, and the
+distinct stretches of an anchor that has several are the documents of bounded collections.
 In each collection the suffixes are sorted as in the column-wise construction: every round takes one more symbol of
 every document, from the right, puts the longer suffixes into the sorted columns (first symbol, preceding symbol or
 Burrows-Wheeler transform, place of the tail, common prefix, document), and updates the common prefixes. A symbol is
@@ -20,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terralith.llm.common import (
-    BYTE_POWERS, keyed, minimum_places, prefix, rolling, spans, stored, text_chunks)
+from terralith.llm.common import BYTE_POWERS, keyed, prefix, rolling, text_chunks
+from terralith.llm.stretches import RUNS, RUNS_TYPE, counted_runs, covered, cut_stretches, intervals, with_repeats
 
 STRING_BYTES = 400
 SYMBOL_BYTES = 40
@@ -31,54 +30,12 @@ GROUP_LIMIT = 2048
 COLLECTION = 512
 
 
-def _bytes_prefix(raw: bytes) -> np.ndarray:
+def _sums(raw: bytes) -> np.ndarray:
     return prefix(np.frombuffer(raw, dtype=np.uint8).astype(np.uint64) + np.uint64(1), BYTE_POWERS)
 
 
-def _stretches(raw: bytes, size: int) -> tuple[np.ndarray, ...]:
-    """Anchor hash, anchor place, first string and number of strings of every stretch of a text; the prefix sums."""
-    sums = _bytes_prefix(raw)
-    short = size // 8
-    runs = rolling(sums, short, BYTE_POWERS)
-    at = minimum_places(runs, size - short + 1)
-    first = np.flatnonzero(np.diff(at, prepend=-1))
-    return runs[at[first]], at[first], first, np.diff(first, append=len(at)), sums
-
-
-def _anchor_rows(size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_chunks(batches):
-            hashes, rows, places = [], [], []
-            for row, raw in zip(batch.column("row_id").to_numpy(), texts):
-                if len(raw) >= size:
-                    anchor, place, _, _, _ = _stretches(raw, size)
-                    hashes.append(anchor)
-                    places.append(place.astype(np.int64))
-                    rows.append(np.full(len(anchor), row, dtype=np.int64))
-            if hashes:
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(rows)),
-                    pa.array(np.concatenate(places))], names=["anchor", "row_id", "place"])
-    return run
-
-
-def _stretch_rows(size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_chunks(batches):
-            ids, wanted, out = batch.column("row_id").to_pylist(), batch.column("places"), []
-            for i, raw in enumerate(texts):
-                anchor, place, first, count, sums = _stretches(raw, size)
-                chosen = np.isin(place, wanted[i].values.to_numpy())
-                anchor, first, count = anchor[chosen].view(np.int64), first[chosen], count[chosen]
-                content = spans(sums, first, first + count + size - 1, BYTE_POWERS).view(np.int64)
-                out += [(a, c, ids[i], f, n, raw[f:f + n + size - 1]) for a, c, f, n in zip(
-                    anchor.tolist(), content.tolist(), first.tolist(), count.tolist())]
-            if out:
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(zip(*out), kinds)],
-                    names=["anchor", "content", "row_id", "first", "count", "bytes"])
-    return run
+def _slices(size: int):
+    return lambda texts, wanted: [[t[f:f + n + size - 1] for f, n in each] for t, each in zip(texts, wanted)]
 
 
 # --- the collection's suffix array ---
@@ -176,19 +133,19 @@ def _repeats(size: int):
         enough = common >= size // SYMBOL_BYTES
         hit = enough | np.append(enough[1:], False)
         number, start = number[hit], start[hit]
-        order = np.argsort(number, kind="stable")
+        order = np.lexsort((start, number))
         number, start = number[order], start[order]
         cut = np.flatnonzero(np.diff(number, prepend=-1))
         which = number[cut]
         return pa.RecordBatch.from_arrays([
             pa.array([group[k][0] for k in which], pa.int64()), pa.array([group[k][1] for k in which], pa.int64()),
-            pa.array([np.sort(s) for s in np.split(start, cut[1:])] if len(cut) else [], pa.list_(pa.int64()))],
-            names=["anchor", "content", "starts"])
+            pa.array([intervals(s) for s in np.split(start, cut[1:])] if len(cut) else [], RUNS_TYPE)],
+            names=["anchor", "content", "runs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int, bytes]] = []
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "content", "bytes"))):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "content", "tokens"))):
                 if len(held) >= COLLECTION and row[0] != held[-1][0]:
                     yield collection(held)
                     held = []
@@ -198,30 +155,12 @@ def _repeats(size: int):
     return run
 
 
-def _string_rows(size: int):
-    """Hashes of all strings in the stretches of very large groups."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for anchor, content, raw in zip(*(batch.column(c).to_pylist() for c in ("anchor", "content", "bytes"))):
-                hashes = rolling(_bytes_prefix(raw), size, BYTE_POWERS).view(np.int64)
-                n = len(hashes)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(n, anchor)), pa.array(np.full(n, content)), pa.array(np.arange(n)),
-                    pa.array(hashes)], names=["anchor", "content", "start", "hash"])
-    return run
-
-
 def _cut(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_chunks(batches):
-            starts, out = batch.column("starts"), []
+            runs, out = batch.column("runs"), []
             for i, raw in enumerate(texts):
-                gone = np.zeros(len(raw) + 1, dtype=np.int32)
-                if starts[i].is_valid:
-                    at = starts[i].values.to_numpy()
-                    np.add.at(gone, at, 1)
-                    np.add.at(gone, at + size, -1)
-                gone = np.cumsum(gone)[:-1] > 0
+                gone = covered(runs[i], len(raw), size)
                 edge = np.flatnonzero(np.diff(gone, prepend=False, append=False))
                 kept = np.frombuffer(raw, dtype=np.uint8)[~gone].tobytes()
                 out.append((len(raw), int(gone.sum()), len(edge) // 2, edge[0::2].tolist(), edge[1::2].tolist(), kept,
@@ -246,37 +185,16 @@ def remove_repeated_bytes(df: DataFrame, text: str = "text", doc_id: str = "doc_
         raise ValueError(f"size must be a multiple of {SYMBOL_BYTES}")
     ids = df.schema[doc_id].dataType.simpleString()
     texts = keyed(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "doc_id")
-    anchors = texts.select("row_id", "text").mapInArrow(_anchor_rows(size), "anchor long, row_id long, place long")
-    twice = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    marked = stored(anchors.join(twice, "anchor", "left_semi").groupBy("row_id").agg(
-        F.collect_list("place").alias("places")), "anchors")
-    stretches = stored(texts.select("row_id", "text").join(marked, "row_id").mapInArrow(
-        _stretch_rows(size), "anchor long, content long, row_id long, first long, count int, bytes binary"),
-        "stretches")
 
-    # Equal stretches repeat as a whole. The distinct ones of an anchor go into a collection.
-    copies = stored(stretches.groupBy("anchor", "content").agg(F.count("*").alias("copies")), "copies")
-    groups = copies.groupBy("anchor").agg(F.count("*").alias("distinct")).where("distinct > 1")
-    wanted = stretches.select("anchor", "content", "bytes").join(
-        groups, "anchor")
-    wanted = wanted.groupBy("anchor", "content").agg(F.first("bytes").alias("bytes"), F.first("distinct").alias("n"))
-    small = wanted.where(F.col("n") <= group_limit).repartition("anchor").sortWithinPartitions("anchor")
-    large = wanted.where(F.col("n") > group_limit)
-    found = small.select("anchor", "content", "bytes").mapInArrow(
-        _repeats(size), "anchor long, content long, starts array<bigint>")
-    strings = large.select("anchor", "content", "bytes").mapInArrow(
-        _string_rows(size), "anchor long, content long, start long, hash long")
-    several = strings.groupBy("anchor", "hash").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "hash")
-    found = found.unionByName(strings.join(several, ["anchor", "hash"], "left_semi").groupBy(
-        "anchor", "content").agg(F.collect_list("start").alias("starts")))
-    found = stored(found, "repeats")
+    def within(distinct: DataFrame) -> DataFrame:
+        """Suffix arrays of whole groups; groups over the limit by counts of their strings, which splits them."""
+        small = distinct.where(F.col("in_group") <= group_limit).repartition("anchor").sortWithinPartitions("anchor")
+        found = small.mapInArrow(_repeats(size), f"anchor long, content long, runs {RUNS}")
+        large = distinct.where(F.col("in_group") > group_limit)
+        return found.unionByName(counted_runs(large, lambda raw: rolling(_sums(raw), size, BYTE_POWERS)))
 
-    placed = stretches.select("anchor", "content", "row_id", "first", "count").join(
-        copies, ["anchor", "content"]).join(found, ["anchor", "content"], "left")
-    starts = F.when(F.col("copies") > 1, F.sequence(F.lit(0).cast("long"), F.col("count").cast("long") - 1)).otherwise(
-        F.coalesce("starts", F.array().cast("array<bigint>")))
-    removed = placed.select("row_id", F.transform(starts, lambda s: s + F.col("first")).alias("starts")).where(
-        F.size("starts") > 0).groupBy("row_id").agg(F.flatten(F.collect_list("starts")).alias("starts"))
-    return texts.join(stored(removed, "removed"), "row_id", "left").select("doc_id", "text", "starts").mapInArrow(
+    marked = with_repeats(texts, lambda raws: [_sums(r) for r in raws], size, size // 8, BYTE_POWERS,
+                          cut_stretches(_slices(size)), within)
+    return marked.select("doc_id", "text", "runs").mapInArrow(
         _cut(size), f"doc_id {ids}, n_bytes long, n_removed long, n_spans long, span_start array<bigint>, "
         "span_end array<bigint>, kept binary, kept_sha256 string")
