@@ -75,24 +75,26 @@ def with_repeats(texts: DataFrame, token_sums: Sums, size: int, short: int, powe
     `cut` is an Arrow function from (…, text, stretches) to distinct stretches, which `within` takes. The texts are
     dealt out by row_id once, for cutting stretches and for the result.
     """
-    rows = stored(texts.select("row_id", "text").mapInArrow(
-        _rows(token_sums, size, short, powers), "anchor long, content long, row_id long, first long, count int"),
-        "stretches")
+    found = texts.select("row_id", "text").mapInArrow(
+        _rows(token_sums, size, short, powers), "anchor long, content long, row_id long, first long, count int")
+    several = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    rows = stored(found.join(several, "anchor", "left_semi"), "stretches")
     copies = stored(rows.groupBy("anchor", "content").agg(F.count("*").alias("copies")), "copies")
     groups = copies.groupBy("anchor").agg(F.count("*").alias("in_group")).where("in_group > 1")
     chosen = rows.join(groups, "anchor").groupBy("anchor", "content").agg(
         *(F.first(c).alias(c) for c in ("row_id", "first", "count", "in_group")))
     chosen = stored(chosen.groupBy("row_id").agg(F.collect_list(F.struct(
         "anchor", "content", "first", "count", "in_group")).alias("stretches")), "chosen")
-    found = within(texts.join(chosen, "row_id").mapInArrow(
+    # A left join here and below: both then read the same exchange of the texts.
+    partial = within(texts.join(chosen, "row_id", "left").mapInArrow(
         cut, "anchor long, content long, in_group long, tokens binary"))
-    whole = rows.join(copies.where("copies > 1"), ["anchor", "content"]).select(
-        "row_id", F.array(F.struct(F.col("first").alias("begin"), (F.col("first") + F.col("count")).alias(
-            "end"))).alias("runs"))
-    single = copies.where("copies = 1").join(found, ["anchor", "content"])
-    parts = rows.join(single, ["anchor", "content"]).select("row_id", F.transform("runs", lambda r: F.struct(
-        (r["begin"] + F.col("first")).alias("begin"), (r["end"] + F.col("first")).alias("end"))).alias("runs"))
-    runs = whole.unionByName(parts).groupBy("row_id").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    decided = copies.join(partial, ["anchor", "content"], "left").where("copies > 1 OR runs IS NOT NULL").select(
+        "anchor", "content", F.when(F.col("copies") == 1, F.col("runs")).alias("runs"))
+    begin, end = F.col("first"), F.col("first") + F.col("count")
+    runs = rows.join(decided, ["anchor", "content"]).select("row_id", F.when(F.col("runs").isNull(), F.array(F.struct(
+        begin.alias("begin"), end.alias("end")))).otherwise(F.transform("runs", lambda r: F.struct(
+            (r["begin"] + begin).alias("begin"), (r["end"] + begin).alias("end")))).alias("runs"))
+    runs = runs.groupBy("row_id").agg(F.flatten(F.collect_list("runs")).alias("runs"))
     return texts.join(runs, "row_id", "left")
 
 
@@ -100,7 +102,9 @@ def cut_stretches(slices: Callable[[list[bytes], list[list[tuple[int, int]]]], l
     """An Arrow function for `cut`: `slices` gives the tokens, as bytes, of the stretches (first run, number of runs) of each text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_chunks(batches):
-            wanted = batch.column("stretches").to_pylist()
+            wanted = [w or [] for w in batch.column("stretches").to_pylist()]
+            if not any(wanted):
+                continue
             cuts = slices(texts, [[(w["first"], w["count"]) for w in each] for each in wanted])
             out = [(w["anchor"], w["content"], w["in_group"], c) for each, cut in zip(wanted, cuts)
                    for w, c in zip(each, cut)]

@@ -67,7 +67,7 @@ def remove_repeated_windows(df: DataFrame, text: str = "text", doc_id: str = "do
     """
     ids = df.schema[doc_id].dataType.simpleString()
     texts = keyed(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "doc_id")
-    marked = with_repeats(texts, _sums, window, window // 2 + 1, WORD_POWERS, cut_stretches(_slices(window)),
+    marked = with_repeats(texts, _sums, window, max(1, window // 5), WORD_POWERS, cut_stretches(_slices(window)),
                           lambda distinct: counted_runs(distinct, _windows(window)))
     return marked.select("doc_id", "text", "runs").mapInArrow(
         _cut(window), f"doc_id {ids}, n_words long, n_removed long, span_start array<int>, span_end array<int>, "

@@ -193,7 +193,7 @@ def remove_repeated_bytes(df: DataFrame, text: str = "text", doc_id: str = "doc_
         large = distinct.where(F.col("in_group") > group_limit)
         return found.unionByName(counted_runs(large, lambda raw: rolling(_sums(raw), size, BYTE_POWERS)))
 
-    marked = with_repeats(texts, lambda raws: [_sums(r) for r in raws], size, size // 8, BYTE_POWERS,
+    marked = with_repeats(texts, lambda raws: [_sums(r) for r in raws], size, max(1, size // 12), BYTE_POWERS,
                           cut_stretches(_slices(size)), within)
     return marked.select("doc_id", "text", "runs").mapInArrow(
         _cut(size), f"doc_id {ids}, n_bytes long, n_removed long, n_spans long, span_start array<bigint>, "
