@@ -179,6 +179,45 @@ def _links(pairs: DataFrame, sets: DataFrame, features: DataFrame, num: int, den
     return both.where(_similar(common, F.size("features_a"), F.size("features_b"), num, den)).select("a", "b")
 
 
+def _open_members(groups: DataFrame, reached: DataFrame) -> DataFrame:
+    """(signature, set_id, component) of the groups that lie in several components."""
+    members = groups.join(reached.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn(
+        "component", F.coalesce("component", "set_id"))
+    split = members.groupBy("signature").agg(
+        F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("signature")
+    return stored(members.join(split, "signature", "left_semi"), "open-groups")
+
+
+def _crossing(members: DataFrame, features: DataFrame, num: int, den: int) -> DataFrame:
+    """All pairs (a, b) of sets in different components that share a signature and may be similar.
+
+    What a set can have in common with sets of other components is at most the number of its shingles that occur in
+    one. Sets for which that is too few for any partner in their group are left out before the join, pairs for which
+    it is too few in the join's condition; a pair comes out once, at the smallest signature it shares.
+    """
+    sets = members.select("set_id", "component").distinct()
+    held = features.join(sets, "set_id").select(
+        "set_id", "component", F.size("features").alias("n"), F.explode("features").alias("shingle"))
+    shared = held.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).where(
+        "x <> y").select("shingle")
+    reach = held.join(shared, "shingle", "left_semi").groupBy("set_id", "n").agg(F.count("*").alias("reach"))
+    sized = members.join(reach, "set_id")
+    smallest = sized.groupBy("signature").agg(F.min("n").alias("smallest"))
+    able = stored(sized.join(smallest, "signature").where(
+        (F.col("reach") * den >= F.col("n") * num)
+        & (F.col("reach") * (den + num) >= (F.col("n") + F.col("smallest")) * num)), "able")
+    able = able.drop("smallest").join(able.groupBy("set_id").agg(
+        F.collect_list("signature").alias("signatures")), "set_id")
+    side = lambda name: able.select("signature", *(F.col(c).alias(f"{c}_{name}") for c in (
+        "set_id", "component", "n", "reach", "signatures")))
+    small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
+    return side("a").join(side("b"), "signature").where(
+        (F.col("component_a") < F.col("component_b")) & (small * den >= large * num)
+        & (F.least("reach_a", "reach_b") * (den + num) >= (small + large) * num)
+        & (F.col("signature") == F.array_min(F.array_intersect("signatures_a", "signatures_b")))).select(
+        F.least("set_id_a", "set_id_b").alias("a"), F.greatest("set_id_a", "set_id_b").alias("b"))
+
+
 def _grouped(texts: DataFrame, shingle: int, similarity: tuple[int, int]) -> DataFrame:
     """For (row_id, doc_id, text): row_id, doc_id, n_shingles, component_id, kept."""
     num, den = similarity
@@ -192,32 +231,30 @@ def _grouped(texts: DataFrame, shingle: int, similarity: tuple[int, int]) -> Dat
     # Sets that share a signature with another one. Equal sets count once.
     signed = texts.select("text").mapInArrow(_signature_rows(shingle, num, den), "signature long, set_id long")
     same = Window.partitionBy("signature")
-    groups = stored(signed.withColumn("pivot", F.min("set_id").over(same)).withColumn(
-        "other", F.max("set_id").over(same)).where("pivot <> other").select(
-        "signature", "set_id", "pivot").distinct(), "groups")
+    groups = stored(signed.withColumn("low", F.min("set_id").over(same)).withColumn(
+        "high", F.max("set_id").over(same)).where("low <> high").select("signature", "set_id").distinct(), "groups")
     chosen = groups.select("set_id").distinct().join(sets.select("set_id", "row_id"), "set_id")
     features = stored(texts.select("row_id", "text").join(chosen, "row_id").select("set_id", "text").mapInArrow(
         _feature_rows(shingle), "set_id long, features array<bigint>"), "features")
 
-    # First every set is compared with the smallest one of each of its groups. Where that leaves a group in several
-    # components, the sets of different components are compared; sets of one component need no further comparison.
-    stars = stored(groups.where("set_id <> pivot").select(
-        F.col("pivot").alias("a"), F.col("set_id").alias("b")).distinct(), "stars")
-    links = stored(_links(stars, sets, features, num, den), "links")
-    reached = components(links)
-    members = groups.select("signature", "set_id").join(
-        reached.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn(
-        "component", F.coalesce("component", "set_id"))
-    open_groups = members.groupBy("signature").agg(F.min("component").alias("x"), F.max("component").alias("y")).where(
-        "x <> y").select("signature")
-    members = stored(members.join(open_groups, "signature", "left_semi"), "open-groups")
-    parts = members.select("signature", "component").distinct()
-    crossing = members.withColumnRenamed("set_id", "a").join(
-        parts.withColumnRenamed("component", "other"), "signature").where("component < other").select(
-        "signature", "a", F.col("other").alias("component"))
-    crossing = crossing.join(members.withColumnRenamed("set_id", "b"), ["signature", "component"]).select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = stored(_links(crossing, sets, features, num, den), "more-links")
+    # First every set is compared with one pivot of each of its groups, by two orders of the sets. Sets that this puts
+    # in one component need no further comparison.
+    members = groups.select("signature", "set_id").withColumn("component", F.col("set_id"))
+    links = tried = None
+    for turn in range(2):
+        pivots = members.groupBy("signature").agg(F.min_by("set_id", F.xxhash64("set_id", F.lit(turn))).alias("pivot"))
+        pairs = members.join(pivots, "signature").where("set_id <> pivot").select(
+            F.least("set_id", "pivot").alias("a"), F.greatest("set_id", "pivot").alias("b")).distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = stored(pairs, "stars")
+        found = stored(_links(pairs, sets, features, num, den), "links")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        links = found if links is None else links.unionByName(found)
+        reached = components(links)
+        members = _open_members(groups, reached)
+    crossing = _crossing(members, features, num, den).join(tried, ["a", "b"], "left_anti")
+    more = stored(_links(stored(crossing, "crossing"), sets, features, num, den), "more-links")
     if not more.isEmpty():
         reached = components(links.unionByName(more))
 
