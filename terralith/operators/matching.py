@@ -8,9 +8,6 @@ and the list form (`duplicates_of`) is for named records, where it is linear in
 
 from __future__ import annotations
 
-import functools
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,8 +16,7 @@ from terralith.functions.similarity import ratio_of_sorted, token_sort, variant_
 from terralith.functions.text import is_set
 
 EPS = 1e-9
-MAX_NAME = 200
-SMALL_SCOPE = 16  # up to this many names a plot or village is compared directly
+SMALL_SCOPE = 16  # up to this many names are compared pair by pair; the result is the same either way
 
 
 # ------------------------------------------------------------------ candidate generation
@@ -61,26 +57,22 @@ def _scoped_join(left: DataFrame, right: DataFrame, scope: list[str], condition:
     return left.alias("l").join(right.alias("r"), condition)
 
 
-def _edit_budget(short: int, long: int, floor: float) -> int:
-    d = math.floor((1 - floor) * (short + long) + EPS)
-    return d - (d + short + long) % 2
+def _piece_counts(n: Column, floor: float) -> Column:
+    """All piece counts a name of length n is cut into: one per edit budget with an equal or longer name."""
+    longest = F.floor(n * (2 - floor) / floor + EPS).cast("int")
+    return F.array_distinct(F.transform(F.sequence(n, longest), lambda w: _max_edits(n, w, floor) + 1))
+
 
+def _gram_sizes(n: Column, floor: float) -> Column:
+    """Sizes of the pieces of all shorter or equal names that may reach a name of length n."""
+    shortest = F.greatest(F.lit(1), F.ceil(n * floor / (2 - floor) - EPS).cast("int"))
 
-@functools.lru_cache(maxsize=None)
-def _length_rules(floor: float, longest: int = MAX_NAME) -> tuple[str, str]:
-    """SQL arrays indexed by name length: piece counts to cut a name into, gram sizes to look it up by."""
-    def reach(m):
-        return range(m, math.floor(m * (2 - floor) / floor + EPS) + 1)
+    def sizes(m):
+        k = _max_edits(m, n, floor) + 1
+        return F.array(F.floor(m / k).cast("int"), F.ceil(m / k).cast("int"))
 
-    counts = {m: sorted({_edit_budget(m, w, floor) + 1 for w in reach(m)}) for m in range(1, longest + 1)}
-    grams: dict[int, set[int]] = {n: set() for n in range(1, longest + 1)}
-    for m, ks in counts.items():
-        for n in reach(m):
-            if n <= longest:
-                for k in ks:
-                    grams[n] |= {m // k, -(-m // k)}
-    as_sql = lambda rows: "array(" + ",".join("array(" + ",".join(map(str, r)) + ")" for r in rows) + ")"
-    return as_sql(counts[m] for m in counts), as_sql(sorted(g for g in grams[n] if 0 < g <= n) for n in grams)
+    found = F.flatten(F.transform(F.sequence(F.least(shortest, n), n), sizes))
+    return F.filter(F.array_distinct(found), lambda g: (g > 0) & (g <= n))
 
 
 def _letters(text: Column) -> Column:
@@ -118,14 +110,13 @@ def _spread(names: DataFrame, scope: list[str], text: str) -> DataFrame:
 def whole_candidates(names: DataFrame, scope: list[str], text: str, floor: float) -> DataFrame:
     """Pairs (a, b), |a| <= |b|, that can reach ``floor`` on the Indel ratio of ``text``; with repeats.
 
-    Names are at most MAX_NAME characters (the width of the name columns).
+    Names may be of any length: piece counts and gram sizes follow from it.
     """
     base = _spread(names, scope, text)
     n = F.length("name")
-    counts_sql, grams_sql = _length_rules(floor)
-    probe = (base.select(*scope, "name", "letters", F.explode(F.element_at(F.expr(counts_sql), n)).alias("parts"))
+    probe = (base.select(*scope, "name", "letters", F.explode(_piece_counts(n, floor)).alias("parts"))
              .select(*scope, "name", "letters", "parts", F.inline(_segments(F.col("name"), F.col("parts")))))
-    index = base.select(*scope, "name", "letters", F.inline(_grams(F.col("name"), F.element_at(F.expr(grams_sql), n))))
+    index = base.select(*scope, "name", "letters", F.inline(_grams(F.col("name"), _gram_sizes(n, floor))))
     la, lb = F.length("l.name"), F.length("r.name")
     edits = _max_edits(la, lb, floor)
     shift = F.col("r.pos") - F.col("l.pos")
@@ -143,19 +134,15 @@ def window_candidates(names: DataFrame, scope: list[str], text: str, floor: floa
     """Pairs (a, b), |a| <= |b|, where some window of b can reach ``floor`` against a; with repeats."""
     base = _spread(names, scope, text)
 
-    def parts(m: int) -> int:
-        return min(math.floor((1 - floor) * 2 * m + EPS) + 1, m)
+    def parts(m: Column) -> Column:
+        return F.least(F.floor((1 - floor) * 2 * m + EPS).cast("int") + 1, m)
 
-    sizes: list[list[int]] = []
-    seen: set[int] = set()
-    for m in range(1, MAX_NAME + 1):
-        seen |= {m // parts(m), -(-m // parts(m))}
-        sizes.append(sorted(q for q in seen if q <= m))
-    sizes_sql = "array(" + ",".join("array(" + ",".join(map(str, s)) + ")" for s in sizes) + ")"
     n = F.length("name")
-    pieces = F.least(F.floor((1 - floor) * 2 * n + EPS).cast("int") + 1, n)
+    sizes = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), n), lambda m: F.array(
+        F.floor(m / parts(m)).cast("int"), F.ceil(m / parts(m)).cast("int")))))
+    pieces = parts(n)
     probe = base.select(*scope, "name", "letters", F.inline(_segments(F.col("name"), pieces))).drop("pos")
-    grams = F.array_distinct(F.transform(_grams(F.col("name"), F.element_at(F.expr(sizes_sql), n)),
+    grams = F.array_distinct(F.transform(_grams(F.col("name"), sizes),
                                          lambda g: g["piece"]))
     index = base.select(*scope, "name", "letters", F.explode(grams).alias("piece"))
     # letters of a that a window of b may lack, whatever the window's length

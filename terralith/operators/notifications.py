@@ -22,11 +22,21 @@ def fan_out(events: DataFrame, users: DataFrame) -> DataFrame:
         users.select(F.col("id").alias("target")), F.col("user_id") == F.col("target"))
     by_role = events.where("user_id is null").join(
         users.select(F.col("id").alias("target"), F.col("role").alias("_role")), F.col("role") == F.col("_role"))
-    cols = [F.col("target").alias("user_id"), F.substring("title", 1, 160).alias("title"),
-            F.substring("message", 1, 2000).alias("message"), "level", "link", F.lit("unread").alias("status")]
+    cols = [F.col("target").alias("user_id"), F.col("title"),
+            F.col("message"), "level", "link", F.lit("unread").alias("status")]
     return named.select(*cols).unionByName(by_role.select(*cols))
 
 
+def fan_out_counts(events: DataFrame, users: DataFrame) -> DataFrame:
+    """(user_id, unread) of `fan_out`, from event counts per target: no row per event and user is made."""
+    ids = users.select(F.col("id").alias("target"), F.col("role").alias("_role"))
+    own = events.where("user_id is not null").groupBy("user_id").agg(F.count("*").alias("n"))
+    shared = events.where("user_id is null").groupBy("role").agg(F.count("*").alias("n"))
+    parts = own.join(ids, F.col("user_id") == F.col("target")).select("target", "n").unionByName(
+        shared.join(ids, F.col("role") == F.col("_role")).select("target", "n"))
+    return parts.groupBy(F.col("target").alias("user_id")).agg(F.sum("n").alias("unread"))
+
+
 def mark_read(notifications: DataFrame, reads: DataFrame, is_admin: Column | None = None) -> DataFrame:
     """Apply (id, user_id) read marks; only the owner (or an admin) may mark a notification."""
     marks = reads.select("id", F.col("user_id").alias("_reader"), (F.lit(False) if is_admin is None else is_admin).alias("_admin")).distinct()

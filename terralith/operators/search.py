@@ -13,7 +13,6 @@ from terralith.functions.text import is_set
 FREE_TEXT_COLUMNS = ["owner_name", "khasra_no", "khata_no", "survey_no", "plot_no", "village", "tehsil",
                      "district", "record_id"]
 COLUMN_FILTERS = ["owner_name", "khasra_no", "khata_no", "survey_no", "plot_no", "village", "tehsil", "district"]
-SEARCH_CAP, QUEUE_CAP, AUDIT_CAP, DOCUMENT_CAP, BATCH_CAP, NOTICE_CAP = 500, 200, 1000, 200, 50, 25
 
 
 def contains_text(col: Column, needle: str) -> Column:
@@ -40,7 +39,7 @@ def search(records: DataFrame, q: str | None = None, status: str | None = None,
         out = out.join(findings.where(F.col("rule_id") == rule_id).select("record_id"), "record_id", "left_semi")
     if limit is None:
         return out
-    return out.orderBy(F.col("created_at").desc(), "record_id").limit(min(limit, SEARCH_CAP))
+    return out.orderBy(F.col("created_at").desc(), "record_id").limit(limit)
 
 
 def priority(col: Column) -> Column:
@@ -63,7 +62,7 @@ def review_queue(records: DataFrame, severity: str | None = None, limit: int = 5
         out = out.where(F.col("highest_severity") == severity)
     return (out.withColumn("priority", priority(F.col("highest_severity")))
             .orderBy(F.col("discrepancy_count").desc(), F.col("record_confidence").asc(), "record_id")
-            .limit(min(limit, QUEUE_CAP)))
+            .limit(limit))
 
 
 def document_list(documents: DataFrame, status: str | None = None, batch_id: str | None = None,
@@ -71,7 +70,7 @@ def document_list(documents: DataFrame, status: str | None = None, batch_id: str
     for name, value in (("status", status), ("batch_id", batch_id)):
         if value:
             documents = documents.where(F.col(name) == value)
-    return documents.orderBy(F.col("created_at").desc(), "doc_id").limit(min(limit, DOCUMENT_CAP))
+    return documents.orderBy(F.col("created_at").desc(), "doc_id").limit(limit)
 
 
 def audit_trail(log: DataFrame, entity_id: str | None = None, action: str | None = None,
@@ -82,7 +81,7 @@ def audit_trail(log: DataFrame, entity_id: str | None = None, action: str | None
         log = log.where(F.col("action") == action)
     if actor:
         log = log.where(contains_text(F.col("actor_label"), actor))
-    return log.orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(min(limit, AUDIT_CAP))
+    return log.orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(limit)
 
 
 def by_key(df: DataFrame, column: str, value: str) -> DataFrame:
@@ -90,8 +89,8 @@ def by_key(df: DataFrame, column: str, value: str) -> DataFrame:
 
 
 def record_detail(record: DataFrame, extractions: DataFrame, findings: DataFrame, checks: DataFrame,
-                  links: DataFrame, log: DataFrame) -> DataFrame:
-    """The named records with their fields, findings, checks, parcel and last 60 audit rows as arrays.
+                  links: DataFrame, log: DataFrame, audit_rows: int | None = 60) -> DataFrame:
+    """The named records with their fields, findings, checks, parcel and newest audit rows (None: all) as arrays.
 
     ``record`` is a short selection; every other table is first cut down to it by a semi join.
     """
@@ -105,8 +104,10 @@ def record_detail(record: DataFrame, extractions: DataFrame, findings: DataFrame
 
     newest = Window.partitionBy("entity_id").orderBy(F.col("created_at").desc(), F.col("id").desc())
     recent = (log.join(keys, log["entity_id"] == keys["record_id"], "left_semi")
-              .withColumn("rn", F.row_number().over(newest)).where("rn <= 60")
+              .withColumn("rn", F.row_number().over(newest))
               .withColumn("record_id", F.col("entity_id")))
+    if audit_rows is not None:
+        recent = recent.where(F.col("rn") <= audit_rows)
     return (record.join(nested(extractions, "fields", "field_name", "value", "confidence"), "record_id", "left")
             .join(nested(findings, "discrepancies", "rule_id", "severity", "message", "occurrences"), "record_id", "left")
             .join(nested(checks, "cross_checks", "source_system", "match_status", "detail"), "record_id", "left")

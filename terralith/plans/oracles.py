@@ -138,7 +138,7 @@ PLOT_NAMES = """probe AS (SELECT id, sorted, CASE WHEN khasra_no <> '' THEN 'k'
   pairs AS (SELECT DISTINCT x.sorted AS a, y.sorted AS b FROM names x JOIN names y USING (kind, key)
     WHERE x.sorted <> y.sorted AND x.sorted <> '' AND y.sorted <> '')"""
 BR3 = """same AS (SELECT x.kind, x.key, x.sorted, x.n - 1 + coalesce(sum(y.n), 0) AS n FROM names x
-    LEFT JOIN scores s ON s.a = x.sorted AND s.ratio >= 0.92 - 1e-9
+    LEFT JOIN scores s ON s.a = x.sorted AND s.a <> s.b AND s.ratio >= 0.92 - 1e-9
     LEFT JOIN names y ON y.kind = x.kind AND y.key = x.key AND y.sorted = s.b WHERE x.sorted <> '' GROUP BY x.kind, x.key, x.sorted, x.n),
   totals AS (SELECT kind, key, sum(n) AS total FROM names GROUP BY ALL),
   dups AS (SELECT p.id, p.key, t.total - 1 AS total, coalesce(s.n, 0) AS same FROM probe p JOIN totals t USING (kind, key)
@@ -187,8 +187,29 @@ _NAME = "CASE max(rank) WHEN 1 THEN 'low' WHEN 2 THEN 'medium' WHEN 3 THEN 'high
 ROLL = f"roll AS (SELECT id, sum(occurrences)::BIGINT AS discrepancy_count, {_NAME} AS highest_severity FROM (SELECT *, {_RANK} AS rank FROM {{src}}) GROUP BY id)"
 
 
-def _local(*extra: str) -> str:
-    return _with(*LOCAL_PARTS, LOCAL, *extra)
+_SORTED = "array_to_string(list_sort(string_split(lower({c}), ' ')), ' ')"
+MOVED = (f"moved AS (SELECT *, {_SORTED.format(c='new_owner')} AS ns, {_SORTED.format(c='previous_owner')} AS ps FROM records "
+         "WHERE new_owner <> '' OR previous_owner <> '')")
+MOVED_PAIRS = ("SELECT ns AS a, sorted AS b FROM moved WHERE ns <> '' AND sorted <> '' "
+               "UNION SELECT ps, ns FROM moved WHERE ns <> '' AND ps <> ''")
+BR5 = """br5 AS (
+  SELECT id, 'BR-5' AS rule_id, 'high' AS severity, concat('new owner == record holder (''', owner_name, ''')') AS expected, new_owner AS actual, 1::BIGINT AS occurrences
+    FROM moved JOIN scores ON a = ns AND b = sorted WHERE ratio < 0.85 - 1e-9
+  UNION ALL SELECT id, 'BR-5', 'high', 'previous owner != new owner', previous_owner, 1 FROM moved JOIN scores ON a = ps AND b = ns WHERE ratio > 0.95 + 1e-9
+  UNION ALL SELECT id, 'BR-5', 'medium', 'a prior record naming the previous owner for the same plot', 'no prior record found', 1 FROM moved m
+    WHERE previous_owner <> '' AND khasra_no <> '' AND NOT EXISTS (SELECT 1 FROM records o WHERE o.khasra_no = m.khasra_no AND lower(o.owner_name) = lower(m.previous_owner) AND o.id <> m.id))"""
+BR9 = """br9 AS (SELECT id, 'BR-9' AS rule_id, CASE WHEN abs(round(delta + 1e-5::DOUBLE, 2)) > 25 THEN 'high' ELSE 'medium' END AS severity,
+  plot_key, round(delta + 1e-5::DOUBLE, 2) AS delta_pct, 1::BIGINT AS occurrences FROM links WHERE match_type <> 'none' AND abs(round(delta + 1e-5::DOUBLE, 2)) > 15)"""
+BR2_DECLARED = f"br2d AS (SELECT id, 'BR-2' AS rule_id, 'high' AS severity, 1::BIGINT AS occurrences FROM records JOIN subs USING (record_id) WHERE {_OFF.format(s='declared_sum')})"
+#: All rules with an SQL form, under one name.
+EVERY_PARTS = [*LOCAL_PARTS, LOCAL, CHILDREN, BR2_CHILD, SUBS, BR2_DECLARED, PLOT_NAMES.replace("pairs AS", "plot_pairs AS"), MOVED,
+               f"pairs AS (SELECT a, b FROM plot_pairs UNION {MOVED_PAIRS})", LCS, BR3, BR5, PLOTS, LINKS, BR9,
+               "every AS (" + " UNION ALL ".join(f"SELECT id, rule_id, severity, occurrences FROM {t}" for t in (
+                   "local", "br2c", "br2d", "br3", "br5", "br9")) + ")"]
+
+
+def _every(*extra: str) -> str:
+    return _with(*EVERY_PARTS, *extra, recursive=True)
 
 
 def _fields() -> str:
@@ -211,10 +232,7 @@ LINES = """lines AS (SELECT doc_id, z[2] - 1 AS line_no, trim(z[1], ' ') AS line
 ORACLES: dict[str, str] = {}
 
 # ------------------------------------------------------------------ queue and search
-ORACLES["review_queue"] = _with(
-    *LOCAL_PARTS, LOCAL, CHILDREN, BR2_CHILD, PLOT_NAMES, LCS, BR3,
-    "every AS (SELECT id, severity, occurrences FROM local UNION ALL SELECT id, severity, occurrences FROM br2c UNION ALL SELECT id, severity, occurrences FROM br3)",
-    ROLL.format(src="every"), recursive=True) + """
+ORACLES["review_queue"] = _every(ROLL.format(src="every")) + """
 SELECT record_id, khasra_no, village, coalesce(discrepancy_count, 0) AS discrepancy_count, coalesce(highest_severity, '') AS highest_severity,
   record_confidence, CASE highest_severity WHEN 'critical' THEN 'critical' WHEN 'high' THEN 'high' ELSE 'normal' END AS priority
 FROM records LEFT JOIN roll USING (id) WHERE status IN ('pending_review', 'escalated')
@@ -282,24 +300,15 @@ SELECT id, 'BR-2' AS rule_id, 'high' AS severity, area_hectare AS parent_area_ha
 UNION ALL SELECT id, 'BR-2', 'high', area_hectare, round(abs(declared_sum - area_hectare) + 1e-7::DOUBLE, 4), declared_count FROM records JOIN subs USING (record_id) WHERE {_OFF.format(s='declared_sum')}"""
 ORACLES["br3_duplicates"] = _with(RECORDS, PLOT_NAMES, LCS, BR3, recursive=True) + "SELECT id, rule_id, severity, occurrences, identifier FROM br3"
 ORACLES["br4_chronology"] = _with(RECORDS, DATED, BR4) + f"SELECT {_BRIEF} FROM br4"
-_SORTED = "array_to_string(list_sort(string_split(lower({c}), ' ')), ' ')"
-ORACLES["br5_chain"] = _with(
-    RECORDS, f"moved AS (SELECT *, {_SORTED.format(c='new_owner')} AS ns, {_SORTED.format(c='previous_owner')} AS ps FROM records WHERE new_owner <> '' OR previous_owner <> '')",
-    "pairs AS (SELECT ns AS a, sorted AS b FROM moved WHERE ns <> '' AND sorted <> '' UNION SELECT ps, ns FROM moved WHERE ns <> '' AND ps <> '')", LCS, recursive=True) + """
-SELECT id, 'BR-5' AS rule_id, 'high' AS severity, concat('new owner == record holder (''', owner_name, ''')') AS expected, new_owner AS actual, 1::BIGINT AS occurrences
-  FROM moved JOIN scores ON a = ns AND b = sorted WHERE ratio < 0.85 - 1e-9
-UNION ALL SELECT id, 'BR-5', 'high', 'previous owner != new owner', previous_owner, 1 FROM moved JOIN scores ON a = ps AND b = ns WHERE ratio > 0.95 + 1e-9
-UNION ALL SELECT id, 'BR-5', 'medium', 'a prior record naming the previous owner for the same plot', 'no prior record found', 1 FROM moved m
-  WHERE previous_owner <> '' AND khasra_no <> '' AND NOT EXISTS (SELECT 1 FROM records o WHERE o.khasra_no = m.khasra_no AND lower(o.owner_name) = lower(m.previous_owner) AND o.id <> m.id)"""
+ORACLES["br5_chain"] = _with(RECORDS, MOVED, f"pairs AS ({MOVED_PAIRS})", LCS, BR5, recursive=True) + "SELECT * FROM br5"
 ORACLES["br6_units"] = _with(RECORDS, BR6) + f"SELECT {_BRIEF} FROM br6"
 ORACLES["br7_admin"] = _with(RECORDS, MASTER, BR7) + f"SELECT {_BRIEF} FROM br7"
-ORACLES["br9_boundary"] = _with(RECORDS, PLOTS, LINKS) + """SELECT id, 'BR-9' AS rule_id, CASE WHEN abs(round(delta + 1e-5::DOUBLE, 2)) > 25 THEN 'high' ELSE 'medium' END AS severity,
-  plot_key, round(delta + 1e-5::DOUBLE, 2) AS delta_pct FROM links WHERE match_type <> 'none' AND abs(round(delta + 1e-5::DOUBLE, 2)) > 15"""
+ORACLES["br9_boundary"] = _with(RECORDS, PLOTS, LINKS, BR9) + "SELECT id, rule_id, severity, plot_key, delta_pct FROM br9"
 ORACLES["br10_registration"] = _with(RECORDS, BR10) + f"SELECT {_BRIEF} FROM br10"
-ORACLES["rule_matrix"] = _local("ids AS (SELECT * FROM " + _values([(r[0],) for r in vocab.RULES]) + " AS t(rule_id))",
-    "per AS (SELECT r.id, i.rule_id, coalesce(sum(l.occurrences), 0) AS n FROM records r CROSS JOIN ids i LEFT JOIN local l ON l.id = r.id AND l.rule_id = i.rule_id GROUP BY 1, 2)") + \
+ORACLES["rule_matrix"] = _every("ids AS (SELECT * FROM " + _values([(r[0],) for r in vocab.RULES if r[0] != "BR-8"]) + " AS t(rule_id))",
+    "per AS (SELECT r.id, i.rule_id, coalesce(sum(l.occurrences), 0) AS n FROM records r CROSS JOIN ids i LEFT JOIN every l ON l.id = r.id AND l.rule_id = i.rule_id GROUP BY 1, 2)") + \
     "SELECT rule_id, n = 0 AS passed, count(*) AS records, sum(n)::BIGINT AS findings FROM per GROUP BY 1, 2"
-ORACLES["finding_rollup"] = _local(ROLL.format(src="local")) + "SELECT id, record_id, discrepancy_count, highest_severity FROM roll JOIN records USING (id)"
+ORACLES["finding_rollup"] = _every(ROLL.format(src="every")) + "SELECT id, record_id, discrepancy_count, highest_severity FROM roll JOIN records USING (id)"
 ORACLES["duplicate_scan"] = _with(
     RECORDS, "knames AS (SELECT khasra_no AS k, sorted, count(*) AS n FROM records WHERE khasra_no <> '' GROUP BY ALL)",
     "vnames AS (SELECT village AS k, sorted, count(*) AS n FROM records WHERE village <> '' AND sorted <> '' GROUP BY ALL)",
@@ -367,7 +376,7 @@ ORACLES["cross_status"] = _with(*_ALL_CHECKS) + """SELECT record_id, CASE WHEN n
 FROM (SELECT record_id, count(*) FILTER (match_status <> 'matched') AS n FROM every GROUP BY 1)"""
 
 # ------------------------------------------------------------------ metrics
-ORACLES["rule_severity"] = _local() + "SELECT rule_id, severity, sum(occurrences)::BIGINT AS n FROM local GROUP BY 1, 2"
+ORACLES["rule_severity"] = _every() + "SELECT rule_id, severity, sum(occurrences)::BIGINT AS n FROM every GROUP BY 1, 2"
 ORACLES["district_rollup"] = _with(RECORDS, "named AS (SELECT state, CASE WHEN district = '' THEN '(unmapped)' ELSE district END AS district, CASE WHEN tehsil = '' THEN '(unmapped)' ELSE tehsil END AS tehsil FROM records)") + \
     "SELECT state, district, tehsil, count(*) AS records, grouping(state, district, tehsil)::BIGINT AS level FROM named GROUP BY ROLLUP (state, district, tehsil)"
 ORACLES["tehsil_counts"] = _with(RECORDS) + "SELECT CASE WHEN tehsil = '' THEN '(unmapped)' ELSE tehsil END AS tehsil, count(*) AS records FROM records GROUP BY 1"
@@ -404,16 +413,16 @@ ORACLES["correction_pairs"] = _with(RECORDS, _fields(), _CHANGED) + """SELECT re
   FROM hit JOIN fields f USING (record_id) WHERE v_new AND f.field_name = 'village' UNION ALL SELECT record_id, 'area', '1.5 acre', 0.0::DOUBLE FROM hit WHERE a_new"""
 ORACLES["corrections_per_field"] = _with(RECORDS, _fields(), _CHANGED) + "SELECT 'village' AS field_name, count(*) AS n FROM hit WHERE v_new UNION ALL SELECT 'area', count(*) FROM hit WHERE a_new"
 ORACLES["rejected_corrections"] = "SELECT 'status' AS field_name, 'non-correctable field' AS reason, count(*) AS n FROM orders WHERE o_orderkey % 11 = 0"
-_DECIDED = "dec AS (SELECT record_id, id, status, ['approve', 'reject', 'escalate'][id % 4 + 1] AS decision, coalesce(c.n, 0) AS critical FROM records LEFT JOIN (SELECT id, sum(occurrences) AS n FROM local WHERE severity = 'critical' GROUP BY 1) c USING (id))"
-ORACLES["decide"] = _local(_DECIDED) + """SELECT record_id, CASE WHEN ok = 'approve' THEN 'approved' WHEN ok = 'reject' THEN 'rejected' WHEN ok = 'escalate' THEN 'escalated' ELSE status END AS status,
+_DECIDED = "dec AS (SELECT record_id, id, status, ['approve', 'reject', 'escalate'][id % 4 + 1] AS decision, coalesce(c.n, 0) AS critical FROM records LEFT JOIN (SELECT id, sum(occurrences) AS n FROM every WHERE severity = 'critical' GROUP BY 1) c USING (id))"
+ORACLES["decide"] = _every(_DECIDED) + """SELECT record_id, CASE WHEN ok = 'approve' THEN 'approved' WHEN ok = 'reject' THEN 'rejected' WHEN ok = 'escalate' THEN 'escalated' ELSE status END AS status,
   CASE WHEN ok IN ('approve', 'reject') THEN 'completed' WHEN ok = 'escalate' THEN 'needs_review' END AS document_status
   FROM (SELECT *, CASE WHEN decision = 'approve' AND critical > 0 THEN NULL ELSE decision END AS ok FROM dec)"""
-ORACLES["refused_approvals"] = _local(_DECIDED) + "SELECT record_id, decision, critical::BIGINT AS open_critical FROM dec WHERE decision = 'approve' AND critical > 0"
+ORACLES["refused_approvals"] = _every(_DECIDED) + "SELECT record_id, decision, critical::BIGINT AS open_critical FROM dec WHERE decision = 'approve' AND critical > 0"
 _BARRED = "document_type_label = '" + vocab.FORM_39A + "' AND field_name IN (" + ", ".join(map(_text, vocab.PROHIBITED_39A)) + ")"
 ORACLES["merge_suggestions"] = _with(RECORDS, _fields()) + f"""SELECT record_id, field_name, CASE field_name WHEN 'village' THEN 'Balarampur' WHEN 'khata_no' THEN '77' ELSE 'Sunita Pradhan' END AS normalized_value,
   round(0.45 * least(75, greatest(confidence, 55)) + 22.5 + 4.5 + 7.0, 2) AS confidence FROM fields
   WHERE field_name IN ('village', 'khata_no', 'owner_name') AND NOT (value <> '' AND confidence >= 70) AND NOT ({_BARRED}) AND (field_name <> 'khata_no' OR id % 2 = 0)"""
-ORACLES["notify_fanout"] = _local(ROLL.format(src="local")) + """SELECT s_suppkey AS user_id, n AS unread FROM supplier CROSS JOIN
+ORACLES["notify_fanout"] = _every(ROLL.format(src="every")) + """SELECT s_suppkey AS user_id, n AS unread FROM supplier CROSS JOIN
   (SELECT count(*) AS n FROM roll WHERE highest_severity IN ('high', 'critical')) WHERE s_suppkey % 4 = 0 AND n > 0"""
 
 # ------------------------------------------------------------------ extraction round trip

@@ -20,6 +20,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 CTX = rules.Context(as_of=d.AS_OF[:10])
 AUDIT_SEGMENT = 100
+#: Rules behind queue, matrix, rollups, decisions and alerts. BR-8 suggests spellings and has no SQL form: it runs in
+#: `all_rules` and `br8_variants`.
+RULES_RUN = [r for r in rules.REGISTRY if r != "BR-8"]
 DOC_AS_OF = "2024-01-31 00:00:00"
 
 
@@ -32,12 +35,10 @@ def _findings(spark, sf, rule_ids, **tables) -> DataFrame:
     return rules.run_rules(d.records(spark, sf), rule_ids, rules.Context(as_of=CTX.as_of, **tables))
 
 
-def _local(spark, sf) -> DataFrame:
-    return _findings(spark, sf, rules.LOCAL_RULES)
-
-
-def _local_counts(spark, sf) -> DataFrame:
-    return _findings(spark, sf, rules.LOCAL_RULES, brief=True)
+def _found(spark, sf) -> DataFrame:
+    """Stored findings of RULES_RUN, which every consumer reads."""
+    return d.stored(spark, sf, "findings", lambda: _findings(
+        spark, sf, RULES_RUN, sub_plots=d.sub_plots(spark, sf), cadastral=d.cadastral(spark, sf), brief=True))
 
 
 def _brief(found: DataFrame) -> DataFrame:
@@ -49,9 +50,7 @@ def _brief(found: DataFrame) -> DataFrame:
 def review_queue(spark, sf):
     """Rules, rollup and the reviewers' queue."""
     records = d.records(spark, sf)
-    found = rules.run_rules(records, [*rules.LOCAL_RULES, "BR-2", "BR-3"],
-                            rules.Context(as_of=CTX.as_of, brief=True))
-    out = search.review_queue(rules.with_rollup(records, found), limit=200)
+    out = search.review_queue(rules.with_rollup(records, _found(spark, sf)), limit=200)
     return out.select("record_id", "khasra_no", "village", "discrepancy_count", "highest_severity", "record_confidence", "priority")
 
 
@@ -224,7 +223,7 @@ def br10_registration(spark, sf):
 
 @query
 def rule_matrix(spark, sf):
-    matrix = rules.rule_matrix(d.records(spark, sf), _local_counts(spark, sf))
+    matrix = rules.rule_matrix(d.records(spark, sf), _found(spark, sf), RULES_RUN)
     return matrix.groupBy("rule_id", "passed").agg(F.count("*").alias("records"), F.sum("findings").alias("findings"))
 
 
@@ -237,14 +236,15 @@ def all_rules(spark, sf):
 
 @query
 def evidence(spark, sf):
-    found = rules.attach_evidence(_local(spark, sf), d.extractions(spark, sf))
+    found = _findings(spark, sf, RULES_RUN, sub_plots=d.sub_plots(spark, sf), cadastral=d.cadastral(spark, sf))
+    found = rules.attach_evidence(found, d.extractions(spark, sf))
     return found.select("id", "rule_id", "severity", F.explode_outer("evidence_refs").alias("field_name", "ref")).groupBy(
         "rule_id", "field_name").agg(F.count("*").alias("n"), F.round(F.sum("ref.confidence"), 2).alias("confidence"))
 
 
 @query
 def finding_rollup(spark, sf):
-    return rules.rollup(_local_counts(spark, sf))
+    return rules.rollup(_found(spark, sf))
 
 
 @query
@@ -340,14 +340,14 @@ def cross_status(spark, sf):
 # ------------------------------------------------------------------ metrics
 @query
 def mis_snapshot(spark, sf):
-    records, found = d.records(spark, sf), _local_counts(spark, sf)
+    records, found = d.records(spark, sf), _found(spark, sf)
     linked = parcels.link_records(rules.with_rollup(records, found), d.cadastral(spark, sf))
     return metrics.snapshot(linked, d.documents(spark, sf), found, d.corrections(spark, sf), d.audit_entries(spark, sf))
 
 
 @query
 def rule_severity(spark, sf):
-    return metrics.rule_severity(_local_counts(spark, sf))
+    return metrics.rule_severity(_found(spark, sf))
 
 
 @query
@@ -441,9 +441,9 @@ def corrections_per_field(spark, sf):
 
 @query
 def revalidate(spark, sf):
-    """Findings after the corrections, by rule and severity (row-local rules)."""
+    """Findings after the corrections, by rule and severity; the rules that look at one record run again."""
     result = _corrected(spark, sf)
-    found = changes.revalidate(result["records"], result["changed"], _local_counts(spark, sf),
+    found = changes.revalidate(result["records"], result["changed"], _found(spark, sf),
                                rules.Context(as_of=CTX.as_of, brief=True), rules.LOCAL_RULES)
     return metrics.rule_severity(found)
 
@@ -451,14 +451,14 @@ def revalidate(spark, sf):
 @query
 def decide(spark, sf):
     records = d.records(spark, sf)
-    found = _local_counts(spark, sf)
+    found = _found(spark, sf)
     return changes.decide(records, found, d.decisions(spark, sf), F.lit(d.AS_OF).cast("timestamp"))["records"].select(
         "record_id", "status", "document_status")
 
 
 @query
 def refused_approvals(spark, sf):
-    return changes.decide(d.records(spark, sf), _local_counts(spark, sf), d.decisions(spark, sf),
+    return changes.decide(d.records(spark, sf), _found(spark, sf), d.decisions(spark, sf),
                           F.lit(d.AS_OF).cast("timestamp"))["refused"]
 
 
@@ -472,9 +472,8 @@ def merge_suggestions(spark, sf):
 
 @query
 def notify_fanout(spark, sf):
-    rolled = rules.with_rollup(d.records(spark, sf), _local_counts(spark, sf))
-    sent = notifications.fan_out(notifications.high_severity_events(rolled), d.users(spark, sf))
-    return metrics.unread_counts(sent)
+    rolled = rules.with_rollup(d.records(spark, sf), _found(spark, sf))
+    return notifications.fan_out_counts(notifications.high_severity_events(rolled), d.users(spark, sf))
 
 
 # ------------------------------------------------------------------ extraction

@@ -176,7 +176,7 @@ def _project(df: DataFrame, columns: dict[str, str]) -> DataFrame:
 _STORED: dict[tuple[str, str, str], str] = {}
 
 
-def _stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     """A derived table, written once per application to the shared checkpoint folder and read from there.
 
     It stands for a stored table: queries that read it several times prune and filter at its
@@ -197,7 +197,7 @@ def _spread(df: DataFrame, key: str) -> DataFrame:
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stored(spark, sf_dir, "records", lambda: derive_records(spark, sf_dir))
+    return stored(spark, sf_dir, "records", lambda: derive_records(spark, sf_dir))
 
 
 def derive_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,7 +254,7 @@ def field_confidence(position: int, key: str = "id") -> Column:
 
 
 def extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stored(spark, sf_dir, "extractions", lambda: derive_extractions(spark, sf_dir))
+    return stored(spark, sf_dir, "extractions", lambda: derive_extractions(spark, sf_dir))
 
 
 def derive_extractions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,26 +18,30 @@ def _start(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoi
             .trigger(availableNow=True).start())
 
 
+def _write_batch(out: DataFrame, batch_id: int, store: str) -> None:
+    """A batch has its own partition, so that one replayed after a failure replaces itself."""
+    (out.withColumn("batch_no", F.lit(batch_id)).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("batch_no").parquet(store))
+
+
 def ingest(uploads: DataFrame, store: str, checkpoint: str, process: Callable[[DataFrame], DataFrame] | None = None,
-           event_time: str = "created_at", delay: str = "7 days") -> StreamingQuery:
-    """Take each content hash once: within the watermark by state, beyond it against the stored set.
+           skipped: str | None = None) -> StreamingQuery:
+    """Take each content hash once, however late its upload comes; a hash whose copies all failed is taken again.
 
-    A batch writes its own partition, so a batch replayed after a failure replaces itself and
-    is compared only with earlier batches.
+    Every batch is compared with the earlier ones by the columns that decide on it. Uploads that are not taken go to
+    the table ``skipped`` with their reason. No watermark: nothing is dropped for being late.
     """
-    unique = uploads.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["file_hash"])
-
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         stored = None
         if _exists(spark, store):
             stored = spark.read.parquet(store).where(F.col("batch_no") < batch_id)
-        fresh, _ = deduplicate(batch, stored)
-        out = process(fresh) if process else fresh
-        (out.withColumn("batch_no", F.lit(batch_id)).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("batch_no").parquet(store))
+        fresh, rest = deduplicate(batch, stored)
+        if skipped:
+            _write_batch(rest, batch_id, skipped)
+        _write_batch(process(fresh) if process else fresh, batch_id, store)
 
-    return _start(unique, handle, checkpoint)
+    return _start(uploads, handle, checkpoint)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
