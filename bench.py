@@ -15,7 +15,7 @@ from terralith.sources import derived  # noqa: E402
 
 HEADLINE = ["review_queue", "br3_duplicates", "br4_chronology", "br7_admin", "parcel_link", "parcel_neighbours",
             "cross_status", "mis_snapshot", "record_search", "audit_verify", "file_dedup", "word_stats",
-            "mutation_chain", "apply_corrections"]
+            "mutation_chain", "apply_corrections", "duplicate_scan", "extract_records", "all_rules"]
 
 
 def main() -> None:

@@ -61,6 +61,8 @@ def neighbours(cadastral: DataFrame, radius_m: float = config.NEIGHBOUR_RADIUS_M
     """
     points = cadastral.select("plot_key", "khasra_no", "owner_hint",
                               geo.polygon_centroid(F.col("rings")).alias("c"))
+    # Dealt out here, so that the geometry is computed once and not again in every expression below.
+    points = points.repartition("plot_key")
     lat_step = radius_m / config.M_PER_DEG_LAT * 1.001
     row = F.floor(F.col("c.lat") / lat_step)
 
