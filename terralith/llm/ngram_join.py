@@ -160,6 +160,11 @@ def _similar(common: Column, a: Column, b: Column, num: int, den: int) -> Column
     return den * common >= num * (a + b - common)
 
 
+def _differ(a: str, b: str) -> Column:
+    """Bits in which two parity maps differ: no more than the shingles in which the sets differ."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+
+
 def _links(pairs: DataFrame, sets: DataFrame, features: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of set_ids whose sets are similar.
 
@@ -170,10 +175,8 @@ def _links(pairs: DataFrame, sets: DataFrame, features: DataFrame, num: int, den
         F.col(c).alias(f"{c}_{name}") for c in cols))
     near = pairs.join(side(sets, "a", "n_shingles", "parity"), "a").join(side(sets, "b", "n_shingles", "parity"), "b")
     size_a, size_b = F.col("n_shingles_a"), F.col("n_shingles_b")
-    differ = F.aggregate(F.zip_with("parity_a", "parity_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0),
-                         lambda s, x: s + x)
     near = near.where((F.least(size_a, size_b) * den >= F.greatest(size_a, size_b) * num) & (
-        differ * (den + num) <= (size_a + size_b) * (den - num))).select("a", "b")
+        _differ("parity_a", "parity_b") * (den + num) <= (size_a + size_b) * (den - num))).select("a", "b")
     both = near.join(side(features, "a", "features"), "a").join(side(features, "b", "features"), "b")
     common = F.size(F.array_intersect("features_a", "features_b"))
     return both.where(_similar(common, F.size("features_a"), F.size("features_b"), num, den)).select("a", "b")
@@ -188,15 +191,15 @@ def _open_members(groups: DataFrame, reached: DataFrame) -> DataFrame:
     return stored(members.join(split, "signature", "left_semi"), "open-groups")
 
 
-def _crossing(members: DataFrame, features: DataFrame, num: int, den: int) -> DataFrame:
+def _crossing(members: DataFrame, sets: DataFrame, features: DataFrame, num: int, den: int) -> DataFrame:
     """All pairs (a, b) of sets in different components that share a signature and may be similar.
 
     What a set can have in common with sets of other components is at most the number of its shingles that occur in
     one. Sets for which that is too few for any partner in their group are left out before the join, pairs for which
-    it is too few in the join's condition; a pair comes out once, at the smallest signature it shares.
+    it is too few, or whose parity maps differ too much, in the join's condition; a pair comes out once, at the
+    smallest signature it shares.
     """
-    sets = members.select("set_id", "component").distinct()
-    held = features.join(sets, "set_id").select(
+    held = features.join(members.select("set_id", "component").distinct(), "set_id").select(
         "set_id", "component", F.size("features").alias("n"), F.explode("features").alias("shingle"))
     shared = held.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).where(
         "x <> y").select("shingle")
@@ -207,13 +210,14 @@ def _crossing(members: DataFrame, features: DataFrame, num: int, den: int) -> Da
         (F.col("reach") * den >= F.col("n") * num)
         & (F.col("reach") * (den + num) >= (F.col("n") + F.col("smallest")) * num)), "able")
     able = able.drop("smallest").join(able.groupBy("set_id").agg(
-        F.collect_list("signature").alias("signatures")), "set_id")
+        F.collect_list("signature").alias("signatures")), "set_id").join(sets.select("set_id", "parity"), "set_id")
     side = lambda name: able.select("signature", *(F.col(c).alias(f"{c}_{name}") for c in (
-        "set_id", "component", "n", "reach", "signatures")))
+        "set_id", "component", "n", "reach", "signatures", "parity")))
     small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
     return side("a").join(side("b"), "signature").where(
         (F.col("component_a") < F.col("component_b")) & (small * den >= large * num)
         & (F.least("reach_a", "reach_b") * (den + num) >= (small + large) * num)
+        & (_differ("parity_a", "parity_b") * (den + num) <= (small + large) * (den - num))
         & (F.col("signature") == F.array_min(F.array_intersect("signatures_a", "signatures_b")))).select(
         F.least("set_id_a", "set_id_b").alias("a"), F.greatest("set_id_a", "set_id_b").alias("b"))
 
@@ -237,23 +241,14 @@ def _grouped(texts: DataFrame, shingle: int, similarity: tuple[int, int]) -> Dat
     features = stored(texts.select("row_id", "text").join(chosen, "row_id").select("set_id", "text").mapInArrow(
         _feature_rows(shingle), "set_id long, features array<bigint>"), "features")
 
-    # First every set is compared with one pivot of each of its groups, by two orders of the sets. Sets that this puts
-    # in one component need no further comparison.
-    members = groups.select("signature", "set_id").withColumn("component", F.col("set_id"))
-    links = tried = None
-    for turn in range(2):
-        pivots = members.groupBy("signature").agg(F.min_by("set_id", F.xxhash64("set_id", F.lit(turn))).alias("pivot"))
-        pairs = members.join(pivots, "signature").where("set_id <> pivot").select(
-            F.least("set_id", "pivot").alias("a"), F.greatest("set_id", "pivot").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "stars")
-        found = stored(_links(pairs, sets, features, num, den), "links")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        reached = components(links)
-        members = _open_members(groups, reached)
-    crossing = _crossing(members, features, num, den).join(tried, ["a", "b"], "left_anti")
+    # First every set is compared with the smallest one of each of its groups. Sets that this puts in one component
+    # need no further comparison; where a group lies in several, its sets are compared across them.
+    pivots = groups.groupBy("signature").agg(F.min("set_id").alias("a"))
+    stars = stored(groups.join(pivots, "signature").where("set_id <> a").select(
+        "a", F.col("set_id").alias("b")).distinct(), "stars")
+    links = stored(_links(stars, sets, features, num, den), "links")
+    reached = components(links)
+    crossing = _crossing(_open_members(groups, reached), sets, features, num, den).join(stars, ["a", "b"], "left_anti")
     more = stored(_links(stored(crossing, "crossing"), sets, features, num, den), "more-links")
     if not more.isEmpty():
         reached = components(links.unionByName(more))
