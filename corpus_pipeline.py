@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from terralith.config import tune
 from terralith.llm import exact_dedup, mixing, ngram_join, quality, sentencepiece_nbest
 from terralith.llm.common import documents, stored
-from terralith.llm.queries import MIX_WEIGHTS
+from terralith.llm.queries import MIX_WEIGHTS, OTHER_WEIGHT
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated to the target shares of their sources, in shuffled order."""
-    return mixing.mix(docs, MIX_WEIGHTS).select(*docs.columns)
+    return mixing.mix(docs, MIX_WEIGHTS, default=OTHER_WEIGHT).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,6 +20,8 @@ from terralith.llm.token_counts import document_tokens
 
 #: Target shares: the largest source of a crawl is held down, the others share evenly.
 MIX_WEIGHTS = {f"src{i}": 2.0 if i == 0 else 1.0 for i in range(20)}
+#: Any other source that is found, and a null one, weighs as much as most of those named.
+OTHER_WEIGHT = 1.0
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +30,7 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(documents(spark, sf_dir), MIX_WEIGHTS)
+    return mix(documents(spark, sf_dir), MIX_WEIGHTS, default=OTHER_WEIGHT)
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,10 +7,12 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from terralith.llm.fingerprints import SAMPLES, _unit, fingerprints, likeness, with_edits
 from terralith.llm.license_scan import rules, scan
 from terralith.llm.mixing import mix, poisson_steps, rates
 from terralith.llm.quality import fit, is_held_out, keep_good, score
+from terralith.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.01"
 
@@ -121,6 +123,22 @@ def test_mixing(spark):
         rates(docs, {"a": 0.0})
 
 
+def test_sources_not_named_are_mixed_too(spark, tmp_path):
+    source = F.when(F.col("id") % 5 == 0, "new").when(F.col("id") % 5 == 1, F.lit(None)).when(
+        F.col("id") % 5 == 2, "src0").otherwise("src1")
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), source.alias("source"), F.lit("t").alias("text"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    out = QUERIES["op2_mix_sources"](spark, str(tmp_path))
+    staged = corpus_pipeline.mix_sources(spark, docs, str(tmp_path))
+    assert out.columns == [*docs.columns, "copy", "shuffle_key"] and staged.columns == docs.columns
+    for mixed in (out, staged):
+        n = Counter(r.source for r in mixed.collect())
+        assert set(n) == {"new", None, "src0", "src1"} and abs(sum(n.values()) - 6000) < 400
+        assert all(abs(n[s] / sum(n.values()) - w / 5) < 0.03 for s, w in (("src0", 2), ("src1", 1), ("new", 1), (None, 1)))
+    large = poisson_steps(50000.0)
+    assert 50000 < len(large) < 60000 and abs(large[-1] - 1) < 1e-6
+
+
 def test_licence_base_phrases_match_brute_force(spark):
     rows = [(1, "Licensed under CC-BY; cc by cc by"), (2, None), (3, ""), (4, "all rights. Reserved! ALL RIGHTS RESERVED"),
             (5, "the GNU General\nPublic\tLicense, version 3"), (6, "occ byte général publiç"), (7, "x " * 30000 + "cc by"),
