@@ -11,6 +11,7 @@ from terralith.llm.fingerprints import with_edits
 from terralith.llm.license_scan import scan
 from terralith.llm.mixing import DIGITS, SEED, mix
 from terralith.llm.ngram_join import near_groups
+from terralith.llm.periodic_runs import digests, periodic_runs, with_repeats_planted
 from terralith.llm.quality import THRESHOLD, fit, is_held_out, score
 from terralith.llm.sentencepiece_nbest import encode
 from terralith.llm.substring_dedup import remove_repeated_windows
@@ -71,9 +72,14 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(periodic_runs(with_repeats_planted(documents(spark, sf_dir))))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_sentencepiece, op2_mix_sources, op3_ngram_join, op4_license_scan, op5_exact_dedup, op6_substring_dedup,
-    op7_token_counts, op8_fingerprints, op9_quality, op10_suffix_dedup)}
+    op7_token_counts, op8_fingerprints, op9_quality, op10_suffix_dedup,
+    op13_periodic_runs)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
