@@ -16,6 +16,7 @@ from terralith.llm.quality import THRESHOLD, fit, is_held_out, score
 from terralith.llm.sentencepiece_nbest import encode
 from terralith.llm.substring_dedup import remove_repeated_windows
 from terralith.llm.suffix_dedup import remove_repeated_bytes
+from terralith.llm.token_alignment import aligned_with_counts
 from terralith.llm.token_counts import document_tokens
 
 
@@ -72,6 +73,11 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aligned_with_counts(documents(spark, sf_dir)).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(periodic_runs(with_repeats_planted(documents(spark, sf_dir))))
 
@@ -79,7 +85,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_sentencepiece, op2_mix_sources, op3_ngram_join, op4_license_scan, op5_exact_dedup, op6_substring_dedup,
     op7_token_counts, op8_fingerprints, op9_quality, op10_suffix_dedup,
-    op13_periodic_runs)}
+    op12_token_alignment, op13_periodic_runs)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
