@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from terralith.llm.common import documents
 from terralith.llm.exact_dedup import exact_groups
 from terralith.llm.fingerprints import with_edits
+from terralith.llm.kmeans_tree import search
 from terralith.llm.license_scan import scan
 from terralith.llm.mixing import DIGITS, SEED, mix
 from terralith.llm.ngram_join import near_groups
@@ -73,6 +74,11 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+def op11_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return search(rows, rows.where(F.col("vec_id") % 100 == 0), k=10)
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aligned_with_counts(documents(spark, sf_dir)).select(
         "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
@@ -85,7 +91,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_sentencepiece, op2_mix_sources, op3_ngram_join, op4_license_scan, op5_exact_dedup, op6_substring_dedup,
     op7_token_counts, op8_fingerprints, op9_quality, op10_suffix_dedup,
-    op12_token_alignment, op13_periodic_runs)}
+    op11_nearest_vectors, op12_token_alignment, op13_periodic_runs)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
