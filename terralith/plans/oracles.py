@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terralith import vocab
+from terralith import config, vocab
 from terralith.sources import derived as d
 
 AS_OF = d.AS_OF
@@ -201,11 +201,39 @@ BR5 = """br5 AS (
 BR9 = """br9 AS (SELECT id, 'BR-9' AS rule_id, CASE WHEN abs(round(delta + 1e-5::DOUBLE, 2)) > 25 THEN 'high' ELSE 'medium' END AS severity,
   plot_key, round(delta + 1e-5::DOUBLE, 2) AS delta_pct, 1::BIGINT AS occurrences FROM links WHERE match_type <> 'none' AND abs(round(delta + 1e-5::DOUBLE, 2)) > 15)"""
 BR2_DECLARED = f"br2d AS (SELECT id, 'BR-2' AS rule_id, 'high' AS severity, 1::BIGINT AS occurrences FROM records JOIN subs USING (record_id) WHERE {_OFF.format(s='declared_sum')})"
-#: All rules with an SQL form, under one name.
-EVERY_PARTS = [*LOCAL_PARTS, LOCAL, CHILDREN, BR2_CHILD, SUBS, BR2_DECLARED, PLOT_NAMES.replace("pairs AS", "plot_pairs AS"), MOVED,
-               f"pairs AS (SELECT a, b FROM plot_pairs UNION {MOVED_PAIRS})", LCS, BR3, BR5, PLOTS, LINKS, BR9,
+# owner variants: distinct names of a village, each against each; Levenshtein bounds (never above the Indel distance) leave few
+# names, and few windows of the longer name, to the LCS
+_LOW, _HIGH = f"{config.VARIANT_LOW!r}::DOUBLE", f"{config.VARIANT_HIGH!r}::DOUBLE"
+_WINDOW = f"({config.VARIANT_LOW!r}::DOUBLE / {config.PARTIAL_WEIGHT!r}::DOUBLE)"
+VARIANT_NAMES = f"""vnames AS (SELECT village, lower(trim(owner_name)) AS name, any_value(sorted) AS sorted, min(id) AS first_id,
+    arg_min(record_id, id) AS first_record FROM records WHERE village <> '' AND trim(owner_name) <> '' GROUP BY 1, 2),
+  vpairs AS (SELECT x.village, x.name AS a, y.name AS b, x.sorted AS sa, y.sorted AS sb FROM vnames x JOIN vnames y USING (village)
+    WHERE x.name <> y.name AND x.sorted <> y.sorted AND length(x.name) <= length(y.name)),
+  vwhole AS (SELECT DISTINCT sa AS a, sb AS b FROM vpairs
+    WHERE levenshtein(sa, sb) <= (1 - {_LOW}) * (length(sa) + length(sb)) + 1e-9),
+  vwindows AS (SELECT DISTINCT a, b, w FROM (SELECT a, b, unnest(list_concat(
+      list_transform(range(1, length(b) - length(a) + 2), lambda i: substr(b, i, length(a))),
+      list_concat(list_transform(range(1, length(a)), lambda i: substr(b, 1, i)),
+                  list_transform(range(1, length(a)), lambda i: substr(b, length(b) - i + 1, i))))) AS w
+    FROM (SELECT DISTINCT a, b FROM vpairs
+      WHERE levenshtein(a, b) <= length(a) + length(b) - 2 * length(a) * {_WINDOW} / (2 - {_WINDOW}) + 1e-9))
+    WHERE levenshtein(a, w) <= (1 - {_WINDOW}) * (length(a) + length(w)) + 1e-9)"""
+VARIANT_PAIRS = "SELECT a, b FROM vwhole UNION SELECT a, w FROM vwindows"
+BR8 = f"""vbest AS (SELECT a, b, max(ratio) AS ratio FROM (SELECT v.a, v.b, s.ratio FROM vwindows v JOIN scores s ON s.a = v.a AND s.b = v.w) GROUP BY 1, 2),
+  vscored AS (SELECT village, least(p.a, p.b) AS a, greatest(p.a, p.b) AS b,
+      max(greatest(coalesce(s.ratio, 0), {config.PARTIAL_WEIGHT!r}::DOUBLE * coalesce(t.ratio, 0))) AS score
+    FROM vpairs p LEFT JOIN scores s ON s.a = p.sa AND s.b = p.sb LEFT JOIN vbest t ON t.a = p.a AND t.b = p.b GROUP BY 1, 2, 3),
+  vnear AS (SELECT * FROM vscored WHERE score >= {_LOW} - 1e-9 AND score < {_HIGH} - 1e-9),
+  vranked AS (SELECT e.village, e.a AS name, e.score, n.first_record, row_number() OVER (PARTITION BY e.village, e.a ORDER BY n.first_id) AS place
+    FROM (SELECT village, a, b, score FROM vnear UNION ALL SELECT village, b, a, score FROM vnear) e
+    JOIN vnames n ON n.village = e.village AND n.name = e.b WHERE length(e.a) >= 4),
+  br8 AS (SELECT id, 'BR-8' AS rule_id, 'medium' AS severity, first_record AS other_record, round(score, 3) AS similarity, 1::BIGINT AS occurrences
+    FROM records r JOIN vranked v ON v.village = r.village AND v.name = lower(trim(r.owner_name)) WHERE place <= 3)"""
+#: All ten rules under one name.
+EVERY_PARTS = [*LOCAL_PARTS, LOCAL, CHILDREN, BR2_CHILD, SUBS, BR2_DECLARED, PLOT_NAMES.replace("pairs AS", "plot_pairs AS"), MOVED, VARIANT_NAMES,
+               f"pairs AS (SELECT a, b FROM plot_pairs UNION {MOVED_PAIRS} UNION {VARIANT_PAIRS})", LCS, BR3, BR5, BR8, PLOTS, LINKS, BR9,
                "every AS (" + " UNION ALL ".join(f"SELECT id, rule_id, severity, occurrences FROM {t}" for t in (
-                   "local", "br2c", "br2d", "br3", "br5", "br9")) + ")"]
+                   "local", "br2c", "br2d", "br3", "br5", "br8", "br9")) + ")"]
 
 
 def _every(*extra: str) -> str:
@@ -303,9 +331,11 @@ ORACLES["br4_chronology"] = _with(RECORDS, DATED, BR4) + f"SELECT {_BRIEF} FROM
 ORACLES["br5_chain"] = _with(RECORDS, MOVED, f"pairs AS ({MOVED_PAIRS})", LCS, BR5, recursive=True) + "SELECT * FROM br5"
 ORACLES["br6_units"] = _with(RECORDS, BR6) + f"SELECT {_BRIEF} FROM br6"
 ORACLES["br7_admin"] = _with(RECORDS, MASTER, BR7) + f"SELECT {_BRIEF} FROM br7"
+ORACLES["br8_variants"] = _with(RECORDS, VARIANT_NAMES, f"pairs AS ({VARIANT_PAIRS})", LCS, BR8, recursive=True) + \
+    "SELECT id, rule_id, severity, other_record, similarity FROM br8"
 ORACLES["br9_boundary"] = _with(RECORDS, PLOTS, LINKS, BR9) + "SELECT id, rule_id, severity, plot_key, delta_pct FROM br9"
 ORACLES["br10_registration"] = _with(RECORDS, BR10) + f"SELECT {_BRIEF} FROM br10"
-ORACLES["rule_matrix"] = _every("ids AS (SELECT * FROM " + _values([(r[0],) for r in vocab.RULES if r[0] != "BR-8"]) + " AS t(rule_id))",
+ORACLES["rule_matrix"] = _every("ids AS (SELECT * FROM " + _values([(r[0],) for r in vocab.RULES]) + " AS t(rule_id))",
     "per AS (SELECT r.id, i.rule_id, coalesce(sum(l.occurrences), 0) AS n FROM records r CROSS JOIN ids i LEFT JOIN every l ON l.id = r.id AND l.rule_id = i.rule_id GROUP BY 1, 2)") + \
     "SELECT rule_id, n = 0 AS passed, count(*) AS records, sum(n)::BIGINT AS findings FROM per GROUP BY 1, 2"
 ORACLES["finding_rollup"] = _every(ROLL.format(src="every")) + "SELECT id, record_id, discrepancy_count, highest_severity FROM roll JOIN records USING (id)"
@@ -377,6 +407,7 @@ FROM (SELECT record_id, count(*) FILTER (match_status <> 'matched') AS n FROM ev
 
 # ------------------------------------------------------------------ metrics
 ORACLES["rule_severity"] = _every() + "SELECT rule_id, severity, sum(occurrences)::BIGINT AS n FROM every GROUP BY 1, 2"
+ORACLES["all_rules"] = ORACLES["rule_severity"]
 ORACLES["district_rollup"] = _with(RECORDS, "named AS (SELECT state, CASE WHEN district = '' THEN '(unmapped)' ELSE district END AS district, CASE WHEN tehsil = '' THEN '(unmapped)' ELSE tehsil END AS tehsil FROM records)") + \
     "SELECT state, district, tehsil, count(*) AS records, grouping(state, district, tehsil)::BIGINT AS level FROM named GROUP BY ROLLUP (state, district, tehsil)"
 ORACLES["tehsil_counts"] = _with(RECORDS) + "SELECT CASE WHEN tehsil = '' THEN '(unmapped)' ELSE tehsil END AS tehsil, count(*) AS records FROM records GROUP BY 1"
