@@ -1,8 +1,13 @@
-"""Hash-chained audit log: verification at any size, append one micro-batch at a time.
+"""Hash-chained audit log: one chain for micro-batches, two levels of chains for bulk loads.
 
-Verification needs each row's predecessor. Ids are unique, so cutting the log into ranges of
-``CHUNK`` ids bounds every window group; the last row of each range is carried to the next one
-through a second, CHUNK-times smaller pass of the same kind.
+Verification of one chain needs each row's predecessor. Ids are unique, so cutting the log into
+ranges of ``CHUNK`` ids bounds every window group; the last row of each range is carried to the
+next one through a second, CHUNK-times smaller pass of the same kind.
+
+A bulk load is chained in two levels. Entries are chained inside segments, ranges of ids, side by
+side. Each segment then has a head: its number, how many entries it holds and its last hash; the
+heads are chained in turn, in the order of the segments. Whatever is changed, moved or taken away
+breaks a link, a count or a head; the last link is the anchor that a reader keeps elsewhere.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +24,8 @@ from terralith.config import AUDIT_LOG, GENESIS_HASH
 from terralith.functions.text import canonical_timestamp
 
 CHUNK = 100_000
+#: Ids in a segment of a bulk load.
+SEGMENT = 10_000
 PAYLOAD_COLUMNS = ["log_id", "user_id", "actor_label", "action", "entity_type", "entity_id", "field_name",
                    "old_value", "new_value"]
 
@@ -79,59 +86,124 @@ def verify(log: DataFrame, segment: int | None = None) -> DataFrame:
     ).select("entries_checked", F.col("broken_at").isNull().alias("chain_intact"), "broken_at", "head_hash")
 
 
-def _chain(ids, payloads, prev: str) -> pd.DataFrame:
-    before, after = [], []
-    for text in payloads:
-        before.append(prev)
-        prev = hashlib.sha256(f"{text}|{prev}".encode()).hexdigest()
-        after.append(prev)
-    return pd.DataFrame({"id": ids, "prev_hash": before, "entry_hash": after})
-
-
-CHAINED = T.StructType([T.StructField("id", T.LongType()), T.StructField("prev_hash", T.StringType()),
-                        T.StructField("entry_hash", T.StringType())])
+def chained(df: DataFrame, text: Column, order: str, start: str = GENESIS_HASH, group: Column | None = None) -> DataFrame:
+    """df with prev_hash and entry_hash: sha256 of ``text``, a bar and the hash before, in ``order``.
 
+    With ``group`` every group is a chain of its own from ``start``. Rows stream through the fold with all their columns,
+    so neither a group nor the table is ever held; without a group all rows pass through one task, one after the other.
+    """
+    rows = df.drop("prev_hash", "entry_hash").withColumns({
+        "_text": text, "_group": F.lit(0).cast("long") if group is None else group.cast("long")})
+    dealt = rows.repartition(1) if group is None else rows.repartition("_group")
+    plain = [c for c in df.columns if c not in ("prev_hash", "entry_hash")]
 
-def _rejoin(entries: DataFrame, chained: DataFrame) -> DataFrame:
-    rows = entries.drop("prev_hash", "entry_hash").join(chained, "id")
-    return rows.select(*[F.col(f.name) for f in AUDIT_LOG.fields])
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, prev = None, start
+        for batch in batches:
+            before, after = [], []
+            for segment, entry in zip(batch.column("_group").to_pylist(), batch.column("_text").to_pylist()):
+                if segment != at:
+                    at, prev = segment, start
+                before.append(prev)
+                prev = hashlib.sha256(f"{entry}|{prev}".encode()).hexdigest()
+                after.append(prev)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in plain), pa.array(before, pa.string()), pa.array(after, pa.string())],
+                names=[*plain, "prev_hash", "entry_hash"])
+
+    schema = T.StructType([*rows.select(*plain).schema.fields, T.StructField("prev_hash", T.StringType()),
+                           T.StructField("entry_hash", T.StringType())])
+    return dealt.sortWithinPartitions("_group", order).mapInArrow(fold, schema)
 
 
 def append(entries: DataFrame, head_hash: str = GENESIS_HASH) -> DataFrame:
     """Chain one micro-batch of entries, in id order, after ``head_hash``.
 
-    Each hash covers the one before it, so one chain is sequential by nature; the caller bounds the
-    batch (``maxFilesPerTrigger`` when streaming). Only (id, payload) pass through the fold, as a
-    stream of Arrow batches; the rows themselves are joined back.
+    Each hash covers the one before it, so one chain is sequential by nature; the caller bounds the batch
+    (``maxFilesPerTrigger`` when streaming) or takes ``append_segments``.
     """
-    prepared = entries.select("id", payload().alias("payload"))
+    return chained(entries, payload(), "id", head_hash).select(*[F.col(f.name) for f in AUDIT_LOG.fields])
+
+
+def segment_of(segment: int) -> Column:
+    return F.floor(F.col("id") / segment).cast("long")
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        prev = head_hash
-        for batch in batches:
-            out = _chain(batch["id"], batch["payload"], prev)
-            if len(out):
-                prev = out["entry_hash"].iloc[-1]
-            yield out
 
-    return _rejoin(entries, prepared.repartition(1).sortWithinPartitions("id").mapInPandas(fold, CHAINED))
+def append_segments(entries: DataFrame, segment: int = SEGMENT) -> DataFrame:
+    """Chain a large load in parallel: one chain per range of ``segment`` ids, each from the genesis hash."""
+    return chained(entries, payload(), "id", group=segment_of(segment)).select(*[F.col(f.name) for f in AUDIT_LOG.fields])
 
 
-def append_segments(entries: DataFrame, segment: int) -> DataFrame:
-    """Chain a large load in parallel: one chain per range of ``segment`` ids, each from the genesis hash.
+def segment_heads(log: DataFrame, segment: int = SEGMENT) -> DataFrame:
+    """segment, entries, last_id, head_hash of every segment of the log as it stands."""
+    return log.groupBy(segment_of(segment).alias("segment")).agg(
+        F.count("*").alias("entries"), F.max("id").alias("last_id"), F.max_by("entry_hash", "id").alias("head_hash"))
 
-    Ids are unique, so a group holds at most ``segment`` rows whatever the data. The segment heads
-    (``segment_heads``) are a log ``segment`` times smaller that can be chained in turn.
+
+def _head_text() -> Column:
+    return F.concat_ws("|", *(F.col(c).cast("string") for c in ("segment", "entries", "last_id", "head_hash")))
+
+
+def seal(log: DataFrame, segment: int = SEGMENT, after: str = GENESIS_HASH) -> DataFrame:
+    """The heads of a log's segments, chained in the order of the segments after the link ``after``.
+
+    Columns of ``segment_heads``, prev_hash and entry_hash (the link). This is ``segment`` times smaller than the log
+    and chained by one task. New segments are sealed by themselves, after the last link of the table so far.
     """
-    prepared = entries.select("id", payload().alias("payload"), F.floor(F.col("id") / segment).alias("segment"))
+    return chained(segment_heads(log, segment), _head_text(), "segment", after)
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        return _chain(pdf["id"].to_numpy(), pdf["payload"], GENESIS_HASH)
 
-    return _rejoin(entries, prepared.groupBy("segment").applyInPandas(fold, CHAINED))
+def anchor(heads: DataFrame) -> DataFrame:
+    """One row: segments, entries and last link of sealed heads. Kept apart from log and heads, it shows a cut tail of both."""
+    return heads.agg(F.count("*").alias("segments"), F.coalesce(F.sum("entries"), F.lit(0)).alias("entries"),
+                     F.coalesce(F.max_by("entry_hash", "segment"), F.lit(GENESIS_HASH)).alias("link"))
 
 
-def segment_heads(log: DataFrame, segment: int) -> DataFrame:
-    return log.groupBy(F.floor(F.col("id") / segment).alias("segment")).agg(
-        F.max_by("entry_hash", "id").alias("head_hash"), F.count("*").alias("entries"))
+def segment_report(log: DataFrame, heads: DataFrame, segment: int = SEGMENT) -> DataFrame:
+    """One row per segment that the log or the heads know: what is sealed against what is there.
+
+    segment, sealed, found (entries; null where there are none), first_broken (first id whose link or hash is wrong),
+    links_broken, hashes_broken, head_ok (count, last id and hash as sealed), link_ok (the head's own place in the chain
+    of heads). Entries without a sealed head have sealed, head_ok and link_ok null: they are not sealed yet.
+    """
+    wrong = broken_links(log, segment)
+    off = ~(F.col("link_ok") & F.col("hash_ok"))
+    there = wrong.groupBy(segment_of(segment).alias("segment")).agg(
+        F.count("*").alias("found"), F.max("id").alias("last_found"), F.max_by("entry_hash", "id").alias("hash_found"),
+        F.min(F.when(off, F.col("id"))).alias("first_broken"), F.count_if(~F.col("link_ok")).alias("links_broken"),
+        F.count_if(~F.col("hash_ok")).alias("hashes_broken"))
+    ordered = with_predecessor(heads.withColumn("id", F.col("segment")), "entry_hash", "expected_prev", GENESIS_HASH)
+    own = F.sha2(F.concat_ws("|", _head_text(), "prev_hash"), 256)
+    links = ordered.select(
+        "segment", F.col("entries").alias("sealed"), "last_id", "head_hash",
+        ((F.col("prev_hash") == F.col("expected_prev")) & (own == F.col("entry_hash"))).alias("link_ok"))
+    head_ok = ((F.col("sealed") == F.coalesce("found", F.lit(0))) & F.coalesce(F.col("last_id") == F.col("last_found"), F.lit(False))
+               & F.coalesce(F.col("head_hash") == F.col("hash_found"), F.lit(False)))
+    return there.join(links, "segment", "full").select(
+        "segment", "sealed", "found", "first_broken", F.coalesce("links_broken", F.lit(0)).alias("links_broken"),
+        F.coalesce("hashes_broken", F.lit(0)).alias("hashes_broken"),
+        F.when(F.col("sealed").isNotNull(), head_ok).alias("head_ok"), "link_ok")
+
+
+def verify_sealed(log: DataFrame, heads: DataFrame, segment: int = SEGMENT, kept: DataFrame | None = None) -> DataFrame:
+    """One row: entries_checked, chain_intact, broken_at, head_hash, segments_checked, broken_segment, entries_missing.
+
+    broken_at is the first entry that does not fit; broken_segment the first segment with such an entry, fewer or other
+    entries than sealed, or a head out of its chain. ``kept`` is an earlier ``anchor``: if heads up to it are gone or
+    changed, the chain is not intact either.
+    """
+    report = segment_report(log, heads, segment)
+    bad = F.col("first_broken").isNotNull() | ~F.coalesce("head_ok", F.lit(True)) | ~F.coalesce("link_ok", F.lit(True))
+    total = report.agg(
+        F.coalesce(F.sum("found"), F.lit(0)).alias("entries_checked"), F.min("first_broken").alias("broken_at"),
+        F.count("*").alias("segments_checked"), F.min(F.when(bad, F.col("segment"))).alias("broken_segment"),
+        F.coalesce(F.sum(F.greatest(F.col("sealed") - F.coalesce("found", F.lit(0)), F.lit(0))), F.lit(0)).alias("entries_missing"))
+    total = total.crossJoin(anchor(heads).select(F.col("link").alias("head_hash")))      # one row each
+    held = F.lit(True)
+    if kept is not None:
+        links = heads.select(F.col("entry_hash").alias("link"))
+        total = total.crossJoin(kept.join(links, "link", "left_semi").agg(F.count("*").alias("_known"))).crossJoin(
+            kept.select(F.col("segments").alias("_segments")))
+        held = (F.col("_known") > 0) | (F.col("_segments") == 0)
+    return total.select("entries_checked", (F.col("broken_segment").isNull() & held).alias("chain_intact"), "broken_at",
+                        "head_hash", "segments_checked", "broken_segment", "entries_missing")

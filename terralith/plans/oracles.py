@@ -419,15 +419,43 @@ FROM records WHERE status = 'pending_review' AND created_at <= timestamp '{AS_OF
 ORACLES["headline"] = "SELECT 'documents' AS name, count(*) AS n FROM documents UNION ALL SELECT 'records', count(*) FROM orders UNION ALL SELECT 'audit', count(*) FROM events"
 
 # ------------------------------------------------------------------ audit
-_PAYLOAD = "concat_ws('|', log_id, user_id, actor_label, action, entity_type, entity_id, field_name, old_value, {new}, '0.0000', detail, strftime(created_at, '%Y-%m-%dT%H:%M:%S.%f'))"
-_CHAIN = f"""ranked AS (SELECT id, floor(id / 100) AS segment, row_number() OVER (PARTITION BY floor(id / 100) ORDER BY id) AS pos,
-    {_PAYLOAD.format(new='new_value')} AS payload, {_PAYLOAD.format(new="CASE WHEN id % 97 = 0 THEN 'changed' ELSE new_value END")} AS altered FROM audit),
-  chain(id, segment, pos, prev_hash, entry_hash, altered) AS (
-    SELECT id, segment, pos, repeat('0', 64), sha256(concat(payload, '|', repeat('0', 64))), altered FROM ranked WHERE pos = 1
-    UNION ALL SELECT r.id, r.segment, r.pos, c.entry_hash, sha256(concat(r.payload, '|', c.entry_hash)), r.altered FROM chain c JOIN ranked r ON r.segment = c.segment AND r.pos = c.pos + 1)"""
-ORACLES["audit_verify"] = _with(AUDIT, _CHAIN, recursive=True) + "SELECT count(*) AS entries_checked, true AS chain_intact, cast(NULL AS bigint) AS broken_at, arg_max(entry_hash, id) AS head_hash FROM chain"
-ORACLES["audit_tampered"] = _with(AUDIT, _CHAIN, recursive=True) + "SELECT id, true AS link_ok, false AS hash_ok FROM chain WHERE sha256(concat(altered, '|', prev_hash)) <> entry_hash"
-ORACLES["audit_heads"] = _with(AUDIT, _CHAIN, recursive=True) + "SELECT segment::BIGINT AS segment, arg_max(entry_hash, id) AS head_hash, count(*) AS entries FROM chain GROUP BY 1"
+_PAYLOAD = "concat_ws('|', log_id, user_id, actor_label, action, entity_type, entity_id, field_name, old_value, new_value, '0.0000', detail, strftime(created_at, '%Y-%m-%dT%H:%M:%S.%f'))"
+_CHAIN = f"""ranked AS (SELECT *, id // 100 AS segment, row_number() OVER (PARTITION BY id // 100 ORDER BY id) AS pos, {_PAYLOAD} AS payload FROM audit),
+  chain(id, segment, pos, prev_hash, entry_hash) AS (
+    SELECT id, segment, pos, repeat('0', 64), sha256(concat(payload, '|', repeat('0', 64))) FROM ranked WHERE pos = 1
+    UNION ALL SELECT r.id, r.segment, r.pos, c.entry_hash, sha256(concat(r.payload, '|', c.entry_hash)) FROM chain c JOIN ranked r ON r.segment = c.segment AND r.pos = c.pos + 1),
+  heads AS (SELECT segment, count(*) AS entries, max(id) AS last_id, arg_max(entry_hash, id) AS head_hash FROM chain GROUP BY 1),
+  placed AS (SELECT *, concat_ws('|', segment, entries, last_id, head_hash) AS payload, row_number() OVER (ORDER BY segment) AS pos FROM heads),
+  sealed(segment, pos, prev_hash, entry_hash) AS (
+    SELECT segment, pos, repeat('0', 64), sha256(concat(payload, '|', repeat('0', 64))) FROM placed WHERE pos = 1
+    UNION ALL SELECT p.segment, p.pos, s.entry_hash, sha256(concat(p.payload, '|', s.entry_hash)) FROM sealed s JOIN placed p ON p.pos = s.pos + 1)"""
+_STORED_LOG = "log AS (SELECT r.* EXCLUDE (segment, pos, payload), prev_hash, entry_hash FROM ranked r JOIN chain USING (id))"
+#: A log and what is wrong with it, worked out again from its columns; the heads are those of the log as it was written.
+_REPORT = f"""checked AS (SELECT *, id // 100 AS segment, sha256(concat({_PAYLOAD}, '|', prev_hash)) = entry_hash AS hash_ok,
+    prev_hash = coalesce(lag(entry_hash) OVER (PARTITION BY id // 100 ORDER BY id), repeat('0', 64)) AS link_ok FROM {{log}}),
+  there AS (SELECT segment, count(*) AS found, max(id) AS last_found, arg_max(entry_hash, id) AS hash_found,
+    min(id) FILTER (NOT link_ok OR NOT hash_ok) AS first_broken, count(*) FILTER (NOT link_ok) AS links_broken,
+    count(*) FILTER (NOT hash_ok) AS hashes_broken FROM checked GROUP BY 1),
+  kept AS (SELECT h.*, s.prev_hash = coalesce(lag(s.entry_hash) OVER (ORDER BY segment), repeat('0', 64))
+    AND s.entry_hash = sha256(concat_ws('|', segment, entries, last_id, head_hash, s.prev_hash)) AS link_ok FROM heads h JOIN sealed s USING (segment)),
+  report AS (SELECT segment, entries AS sealed, found, first_broken, coalesce(links_broken, 0) AS links_broken, coalesce(hashes_broken, 0) AS hashes_broken,
+    entries = coalesce(found, 0) AND coalesce(last_id = last_found, false) AND coalesce(head_hash = hash_found, false) AS head_ok, link_ok
+    FROM kept FULL JOIN there USING (segment)),
+  bad AS (SELECT * FROM report WHERE first_broken IS NOT NULL OR NOT head_ok OR NOT link_ok)"""
+_DAMAGED = """damaged AS (SELECT * REPLACE (
+    CASE WHEN id // 100 % 7 = 1 AND id % 100 = 20 THEN id + 1 WHEN id // 100 % 7 = 1 AND id % 100 = 21 THEN id - 1 ELSE id END AS id,
+    CASE WHEN id // 100 % 7 = 2 AND id % 100 = 30 THEN 'changed' ELSE new_value END AS new_value)
+  FROM log WHERE id // 100 % 7 <> 3 AND NOT (id // 100 % 7 = 5 AND id % 100 >= 90))"""
+_VERDICT = """SELECT (SELECT sum(found) FROM report)::BIGINT AS entries_checked, (SELECT count(*) FROM bad) = 0 AS chain_intact,
+  (SELECT min(first_broken) FROM report) AS broken_at, (SELECT arg_max(entry_hash, segment) FROM sealed) AS head_hash,
+  (SELECT count(*) FROM report) AS segments_checked, (SELECT min(segment) FROM bad) AS broken_segment,
+  (SELECT sum(greatest(sealed - coalesce(found, 0), 0)) FROM report)::BIGINT AS entries_missing"""
+ORACLES["audit_verify"] = _with(AUDIT, _CHAIN, _STORED_LOG, _REPORT.format(log="log"), recursive=True) + _VERDICT
+ORACLES["audit_damage"] = _with(AUDIT, _CHAIN, _STORED_LOG, _DAMAGED, _REPORT.format(log="damaged"), recursive=True) + _VERDICT
+ORACLES["audit_deleted"] = _with(AUDIT, _CHAIN, _STORED_LOG, _DAMAGED, _REPORT.format(log="damaged"), recursive=True) + "SELECT * FROM bad"
+ORACLES["audit_tampered"] = _with(AUDIT, _CHAIN, _STORED_LOG, """altered AS (SELECT * REPLACE (CASE WHEN id % 97 = 0 THEN 'changed' ELSE new_value END AS new_value) FROM log)""",
+    _REPORT.format(log="altered"), recursive=True) + "SELECT id, link_ok, hash_ok FROM checked WHERE NOT link_ok OR NOT hash_ok"
+ORACLES["audit_heads"] = _with(AUDIT, _CHAIN, recursive=True) + "SELECT h.*, prev_hash, entry_hash FROM heads h JOIN sealed USING (segment)"
 ORACLES["audit_stats"] = _with(AUDIT) + """SELECT 'total' AS kind, 'total_events' AS name, count(*) AS n FROM audit UNION ALL SELECT 'total', 'corrections_logged', count(*) FROM audit WHERE action = 'field_corrected'
 UNION ALL SELECT 'action', action, count(*) FROM audit GROUP BY action
 UNION ALL SELECT 'actor', actor_label, n FROM (SELECT actor_label, count(*) AS n FROM audit GROUP BY 1 ORDER BY n DESC, actor_label LIMIT 12)"""

@@ -386,12 +386,17 @@ def headline(spark, sf):
 
 # ------------------------------------------------------------------ audit
 def _log(spark, sf):
-    return audit.append_segments(d.audit_entries(spark, sf), AUDIT_SEGMENT)
+    return d.stored(spark, sf, "audit-log", lambda: audit.append_segments(d.audit_entries(spark, sf), AUDIT_SEGMENT))
+
+
+def _heads(spark, sf):
+    return d.stored(spark, sf, "audit-heads", lambda: audit.seal(_log(spark, sf), AUDIT_SEGMENT))
 
 
 @query
 def audit_verify(spark, sf):
-    return audit.verify(_log(spark, sf), AUDIT_SEGMENT)
+    """The log as it was written: both levels of chains hold."""
+    return audit.verify_sealed(_log(spark, sf), _heads(spark, sf), AUDIT_SEGMENT)
 
 
 @query
@@ -402,9 +407,32 @@ def audit_tampered(spark, sf):
     return bad.select("id", "link_ok", "hash_ok")
 
 
+def _damaged(spark, sf):
+    """A log that lost whole segments and tails of segments, with entries exchanged and entries edited."""
+    part, place = F.floor(F.col("id") / AUDIT_SEGMENT) % 7, F.col("id") % AUDIT_SEGMENT
+    log = _log(spark, sf).where(~((part == 3) | ((part == 5) & (place >= AUDIT_SEGMENT - 10))))
+    swapped = F.when((part == 1) & (place == 20), F.col("id") + 1).when((part == 1) & (place == 21), F.col("id") - 1)
+    edited = F.when((part == 2) & (place == 30), "changed").otherwise(F.col("new_value"))
+    return log.withColumns({"id": F.coalesce(swapped, F.col("id")), "new_value": edited})
+
+
+@query
+def audit_deleted(spark, sf):
+    """Segments of the damaged log that no longer fit, with what is wrong in each."""
+    report = audit.segment_report(_damaged(spark, sf), _heads(spark, sf), AUDIT_SEGMENT)
+    return report.where("first_broken IS NOT NULL OR NOT head_ok OR NOT link_ok")
+
+
+@query
+def audit_damage(spark, sf):
+    """The damaged log in one row."""
+    return audit.verify_sealed(_damaged(spark, sf), _heads(spark, sf), AUDIT_SEGMENT)
+
+
 @query
 def audit_heads(spark, sf):
-    return audit.segment_heads(_log(spark, sf), AUDIT_SEGMENT)
+    """Sealed heads of the segments, with their links."""
+    return _heads(spark, sf)
 
 
 @query

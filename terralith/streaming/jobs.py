@@ -57,21 +57,42 @@ def daily_counts(documents: DataFrame, event_time: str = "created_at", delay: st
             .select(F.to_date("window.start").alias("day"), "documents"))
 
 
+def heads_of(store: str) -> str:
+    """The table of heads beside an audit log: one row per batch, in a partition of its own."""
+    return f"{store.rstrip('/')}-heads"
+
+
 def append_audit(entries: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
-    """Chain each micro-batch after the head of the batches before it."""
+    """Chain each micro-batch after the head of the batch before it, which is one row of ``heads_of(store)``.
+
+    The log itself is not read again, however many batches it has. A batch replayed after a failure replaces its own
+    entries and its own head. The source bounds a batch (``maxFilesPerTrigger``).
+    """
     def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        head = audit.GENESIS_HASH
-        if _exists(spark, store):
-            row = spark.read.parquet(store).where(F.col("batch_no") < batch_id).agg(
-                F.max_by("entry_hash", "id").alias("head")).first()
-            head = row.head or head
-        (audit.append(batch, head).withColumn("batch_no", F.lit(batch_id)).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("batch_no").parquet(store))
+        spark, heads = batch.sparkSession, heads_of(store)
+        last = _last_head(spark, heads, batch_id)
+        _write_batch(audit.append(batch, last.entry_hash if last else audit.GENESIS_HASH), batch_id, store)
+        written = spark.read.parquet(f"{store}/batch_no={batch_id}") if _exists(spark, f"{store}/batch_no={batch_id}") else None
+        head = written.agg(F.max("id").alias("id"), F.max_by("entry_hash", "id").alias("entry_hash")) if written else None
+        if head is None and last is not None:       # a batch without entries hands the head on
+            head = spark.createDataFrame([(last.id, last.entry_hash)], "id long, entry_hash string")
+        if head is not None:
+            _write_batch(head.coalesce(1), batch_id, heads)
 
     return _start(entries, handle, checkpoint)
 
 
+def _last_head(spark: SparkSession, heads: str, batch_id: int):
+    """The head before a batch: that of the batch before it; if that one wrote none, of the last batch that did."""
+    before = f"{heads}/batch_no={batch_id - 1}"
+    if _exists(spark, before):
+        return spark.read.parquet(before).select("id", "entry_hash").first()
+    if not _exists(spark, heads):
+        return None
+    return spark.read.parquet(heads).where(F.col("batch_no") < batch_id).orderBy(F.desc("batch_no")).select(
+        "id", "entry_hash").first()
+
+
 class PendingTimer(StatefulProcessor):
     """One timer per record: opens when the record turns pending, is cancelled by any other status."""
 
