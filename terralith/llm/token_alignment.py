@@ -11,6 +11,7 @@ and each spelling between two cuts is aligned once.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections import Counter
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terralith.llm.common import keyed, stored, text_chunks
+from terralith.llm.token_counts import PATTERN
 
 MODEL_A = "/opt/tokenizers/byte_bpe_50k.json"
 MODEL_B = "/opt/tokenizers/piece_bpe_32k.model"
@@ -54,6 +56,7 @@ class Models:
     a_bytes: list[bytes]
     b_bytes: list[bytes]
     same: np.ndarray
+    ranked: bool
 
     @staticmethod
     def load(model_a: str = MODEL_A, model_b: str = MODEL_B) -> Models:
@@ -83,7 +86,21 @@ class Models:
         for i in sorted(range(len(b_bytes)), key=lambda i: (pieces.is_byte(i), i)):
             place.setdefault(b_bytes[i], i)
         place.pop(b"", None)
-        return Models(a_file, b_file, a_bytes, b_bytes, np.array([place.get(x, -1) for x in a_bytes]))
+        return Models(a_file, b_file, a_bytes, b_bytes, np.array([place.get(x, -1) for x in a_bytes]),
+                      merged_by_id(json.loads(a_file)))
+
+
+def merged_by_id(tokenizer: dict) -> bool:
+    """Whether a tokenizer's file asks for nothing but the byte-level split and merges in the order of their ids.
+
+    The ids are ranks then, and a faster encoder of the same kind gives the same tokens.
+    """
+    model, split = tokenizer["model"], tokenizer.get("pre_tokenizer") or {}
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", [])]
+    first = [model["vocab"].get("".join(m), -1) for m in merges]
+    return bool(merges and model["type"] == "BPE" and not tokenizer.get("normalizer") and split.get("type") == "ByteLevel"
+                and not split.get("add_prefix_space") and split.get("use_regex", True) and first == sorted(set(first))
+                and first[0] == 256 and not model.get("ignore_merges"))
 
 
 class Column:
@@ -104,15 +121,25 @@ class Aligner:
     """Aligned spellings: counts, groups as text, identical ids and irregular pairs (a * size of B + b) of each."""
 
     def __init__(self, models: Models):
+        import tiktoken
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"    # a task has one core
         self.models, self.width = models, len(models.b_bytes)
         self.same = models.same.tolist()
+        self.a_size, self.b_size = ([len(x) for x in y] for y in (models.a_bytes, models.b_bytes))
         self.one = [f"{a}|{b}" for a, b in enumerate(self.same)]
-        self.a, self.b = Tokenizer.from_str(models.a_file), SentencePieceProcessor(model_proto=models.b_file)
-        self.a.encode_special_tokens = True
+        self.b = SentencePieceProcessor(model_proto=models.b_file)
+        if models.ranked:
+            special = {t["id"] for t in json.loads(models.a_file).get("added_tokens", [])}
+            ranks = {x: i for i, x in enumerate(models.a_bytes) if x and i not in special}
+            ranked = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+            self.encode_a = lambda texts: [ranked.encode_ordinary(t) for t in texts]
+        else:
+            plain = Tokenizer.from_str(models.a_file)
+            plain.encode_special_tokens = True
+            self.encode_a = lambda texts: [x.ids for x in plain.encode_batch_fast(texts, add_special_tokens=False)]
         self.space = [self.b.piece_to_id(SPACE)]
         self.forget()
 
@@ -131,63 +158,72 @@ class Aligner:
         spaced = " " + text
         return [u[1:] for u in UNITS.findall(spaced)] if INSIDE.search(spaced) else text.split(" ")
 
-    def align(self, a: list[int], b: list[int]) -> tuple[str, int, int, Counter, Counter]:
-        """Groups as text, their number, links, counts of identical ids and of irregular pairs."""
-        a_size, b_size = self.models.a_bytes, self.models.b_bytes
-        texts, links, same, pairs = [], 0, Counter(), Counter()
+    def align(self, a: list[int], b: list[int]) -> tuple[list[str], int, list[int], list[int], dict[int, int]]:
+        """Groups as text, number of links, ids linked to the identical one and how often, irregular pairs and how often."""
+        a_size, b_size, same_of, width, one = self.a_size, self.b_size, self.same, self.width, self.one
+        texts, links, same, often, pairs = [], 0, [], [], {}
         i = j = at_a = at_b = first_a = first_b = 0
-        while i < len(a):
+        n = len(a)
+        while i < n:
             if at_a <= at_b:
-                at_a += len(a_size[a[i]])
+                at_a += a_size[a[i]]
                 i += 1
             while at_b < at_a:
-                at_b += len(b_size[b[j]])
+                at_b += b_size[b[j]]
                 j += 1
             if at_a != at_b:
                 continue
-            left, right = a[first_a:i], b[first_b:j]
-            links += len(left) * len(right)
-            if len(left) == len(right) == 1 and self.same[left[0]] == right[0]:
-                texts.append(self.one[left[0]])
-                same[left[0]] += 1
+            if i - first_a == 1 and j - first_b == 1 and same_of[a[first_a]] == b[first_b]:
+                texts.append(one[a[first_a]])
+                same.append(a[first_a])
+                often.append(1)
+                links += 1
             else:
+                left, right = a[first_a:i], b[first_b:j]
                 texts.append(f"{','.join(map(str, left))}|{','.join(map(str, right))}")
-                for x, n in Counter(left).items():
-                    for y, m in Counter(right).items():
-                        if self.same[x] == y:
-                            same[x] += n * m
+                links += len(left) * len(right)
+                few = len(left) * len(right) <= 64          # long groups are told by their distinct ids
+                for x, k in (((x, 1) for x in left) if few else Counter(left).items()):
+                    for y, m in (((y, 1) for y in right) if few else Counter(right).items()):
+                        if same_of[x] == y:
+                            same.append(x)
+                            often.append(k * m)
                         else:
-                            pairs[x * self.width + y] += n * m
+                            pair = x * width + y
+                            pairs[pair] = pairs.get(pair, 0) + k * m
             first_a, first_b = i, j
-        return ";".join(texts), len(texts), links, same, pairs
+        return texts, links, same, often, pairs
 
     def learn(self, units: list[str]) -> None:
         """Align spellings that are not known yet."""
+        a_bytes, b_bytes = self.models.a_bytes.__getitem__, self.models.b_bytes.__getitem__
+        same_of, one = self.same.__getitem__, self.one.__getitem__
         numbers: list[tuple[int, ...]] = []
         same_end, pair_end, same_id, same_count, pair_id, pair_count = [], [], [], [], [], []
+        known_same, known_pairs = self.same_id.size, self.pair_id.size
         for at in range(0, len(units), 4096):
             some = units[at:at + 4096]
-            for unit, coded, b in zip(some, self.a.encode_batch([" " + u for u in some], add_special_tokens=False),
-                                      self.b.encode(some, num_threads=1)):
-                a, b, raw = coded.ids, b or self.space, b" " + unit.encode()
+            spaced = [" " + u for u in some]
+            for unit, a, b in zip(spaced, self.encode_a(spaced), self.b.encode(some, num_threads=1)):
+                b, raw = b or self.space, unit.encode()
                 groups, row = "", (0,) * 5
-                if b"".join([self.models.a_bytes[i] for i in a]) == raw:
-                    if [self.same[i] for i in a] == b:
-                        groups, n = ";".join([self.one[i] for i in a]), len(a)
+                if b"".join(map(a_bytes, a)) == raw:
+                    if list(map(same_of, a)) == b:
+                        groups, n = ";".join(map(one, a)), len(a)
                         row = (1, n, n, n, n)
                         same_id += a
                         same_count += [1] * n
-                    elif b"".join([self.models.b_bytes[i] for i in b]) == raw:
-                        groups, n, links, same, pairs = self.align(a, b)
-                        row = (1, len(a), len(b), n, links)
+                    elif b"".join(map(b_bytes, b)) == raw:
+                        texts, links, same, often, pairs = self.align(a, b)
+                        groups, row = ";".join(texts), (1, len(a), len(b), len(texts), links)
                         same_id += same
-                        same_count += same.values()
+                        same_count += often
                         pair_id += pairs
                         pair_count += pairs.values()
                 numbers.append(row)
                 self.groups.append(groups)
-                same_end.append(self.same_id.size + len(same_id))
-                pair_end.append(self.pair_id.size + len(pair_id))
+                same_end.append(known_same + len(same_id))
+                pair_end.append(known_pairs + len(pair_id))
         for column, values in zip(self.numbers, zip(*numbers)):
             column.extend(values)
         for column, values in ((self.same_end, same_end), (self.pair_end, pair_end), (self.same_id, same_id),
@@ -329,7 +365,7 @@ def link_scores(aligned: DataFrame, counts: DataFrame, models: Models) -> DataFr
     width = len(models.b_bytes)
     irregular = counts.where("NOT same").select(
         (F.col("a") * width + F.col("b")).alias("pair"), "docs", "best")
-    sums = links.join(irregular, "pair").groupBy("row_id").agg(
+    sums = links.join(irregular.hint("merge"), "pair").groupBy("row_id").agg(
         F.sum(F.col("n") * F.col("docs")).alias("pair_sum"), F.sum(F.when(F.col("best"), F.col("n"))).alias("pair_best"))
     return rows.join(sums, "row_id", "left").select(
         *plain, (F.col("same_best") + F.coalesce("pair_best", F.lit(0))).alias("n_best"),

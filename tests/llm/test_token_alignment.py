@@ -1,6 +1,7 @@
 """Alignment and pair counts against the tokenizers on whole texts and plain loops."""
 import hashlib
 from collections import Counter, defaultdict
+from dataclasses import replace
 
 from terralith.llm import token_alignment as ta
 from terralith.llm.queries import op12_token_alignment
@@ -82,6 +83,16 @@ def test_odd_texts_equal_whole_text_tokenizers(spark):
     assert ta.aligned_with_counts(df.limit(0)).count() == 0
 
 
+def test_both_encoders_of_the_byte_level_side_agree():
+    models = ta.Models.load()
+    assert models.ranked
+    fast, plain = ta.Aligner(models), ta.Aligner(replace(models, ranked=False))
+    units = [" " + u for t in ODD if t for u in fast.units(t)]
+    assert fast.encode_a(units) == plain.encode_a(units)
+    assert [fast.places(fast.units(t)).tolist() for t in ODD if t] == [plain.places(plain.units(t)).tolist() for t in ODD if t]
+    assert fast.groups == plain.groups
+
+
 def test_ids_may_repeat_or_be_null(spark):
     df = spark.createDataFrame([(1, "one two"), (1, "one two"), (None, "one three")], "k int, text string")
     got = sorted(tuple(r[c] for c in COLUMNS) for r in ta.aligned_with_counts(df, doc_id="k").collect())
