@@ -236,8 +236,8 @@ EVERY_PARTS = [*LOCAL_PARTS, LOCAL, CHILDREN, BR2_CHILD, SUBS, BR2_DECLARED, PLO
                    "local", "br2c", "br2d", "br3", "br5", "br8", "br9")) + ")"]
 
 
-def _every(*extra: str) -> str:
-    return _with(*EVERY_PARTS, *extra, recursive=True)
+def _every(*extra: str, records: str = RECORDS) -> str:
+    return _with(records, *EVERY_PARTS[1:], *extra, recursive=True)
 
 
 def _fields() -> str:
@@ -472,6 +472,14 @@ ORACLES["correction_pairs"] = _with(RECORDS, _fields(), _CHANGED) + """SELECT re
   FROM hit JOIN fields f USING (record_id) WHERE v_new AND f.field_name = 'village' UNION ALL SELECT record_id, 'area', '1.5 acre', 0.0::DOUBLE FROM hit WHERE a_new"""
 ORACLES["corrections_per_field"] = _with(RECORDS, _fields(), _CHANGED) + "SELECT 'village' AS field_name, count(*) AS n FROM hit WHERE v_new UNION ALL SELECT 'area', count(*) FROM hit WHERE a_new"
 ORACLES["rejected_corrections"] = "SELECT 'status' AS field_name, 'non-correctable field' AS reason, count(*) AS n FROM orders WHERE o_orderkey % 11 = 0"
+#: The records after the corrections, under the name that the rules read.
+_CORRECTED = RECORDS.replace("records AS (", "before AS (") + """, records AS (SELECT * REPLACE (
+    CASE WHEN id % 3 = 0 THEN 'Balarampur' ELSE village END AS village,
+    CASE WHEN id % 5 = 0 THEN '1.5 acre' ELSE area_raw END AS area_raw, CASE WHEN id % 5 = 0 THEN 1.5::DOUBLE ELSE area_value END AS area_value,
+    CASE WHEN id % 5 = 0 THEN 'acre' ELSE area_unit END AS area_unit,
+    CASE WHEN id % 5 = 0 THEN round(1.5::DOUBLE * 0.404686::DOUBLE + 1e-9::DOUBLE, 6) ELSE area_hectare END AS area_hectare) FROM before)"""
+ORACLES["revalidate"] = _every(records=_CORRECTED) + "SELECT rule_id, severity, sum(occurrences)::BIGINT AS n FROM every GROUP BY 1, 2"
+ORACLES["revalidated_rollup"] = _every(ROLL.format(src="every"), records=_CORRECTED) + "SELECT id, record_id, discrepancy_count, highest_severity FROM roll JOIN records USING (id)"
 _DECIDED = "dec AS (SELECT record_id, id, status, ['approve', 'reject', 'escalate'][id % 4 + 1] AS decision, coalesce(c.n, 0) AS critical FROM records LEFT JOIN (SELECT id, sum(occurrences) AS n FROM every WHERE severity = 'critical' GROUP BY 1) c USING (id))"
 ORACLES["decide"] = _every(_DECIDED) + """SELECT record_id, CASE WHEN ok = 'approve' THEN 'approved' WHEN ok = 'reject' THEN 'rejected' WHEN ok = 'escalate' THEN 'escalated' ELSE status END AS status,
   CASE WHEN ok IN ('approve', 'reject') THEN 'completed' WHEN ok = 'escalate' THEN 'needs_review' END AS document_status

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from terralith import vocab
 from terralith.functions import text
 from terralith.operators import (audit, chains, changes, checks, extraction, form39a, layout, matching, metrics,
-                                 notifications, parcels, rules, search)
+                                 notifications, parcels, revalidation, rules, search)
 from terralith.plans import streams
 from terralith.sources import derived as d
 from terralith.sources import documents as docs
@@ -466,13 +466,25 @@ def corrections_per_field(spark, sf):
     return sinks.corrections_per_field(_corrected(spark, sf)["applied"])
 
 
+def _revalidated(spark, sf):
+    """Findings of all ten rules after the corrections, made again only where a correction can alter them."""
+    result = _corrected(spark, sf)
+    changed = d.stored(spark, sf, "changed-records", lambda: result["changed"])
+    after = d.stored(spark, sf, "corrected-records", lambda: changes.replace_rows(d.records(spark, sf), changed))
+    return revalidation.revalidate(d.records(spark, sf), after, changed, _found(spark, sf), rules.Context(
+        as_of=CTX.as_of, brief=True, sub_plots=d.sub_plots(spark, sf), cadastral=d.cadastral(spark, sf)))
+
+
 @query
 def revalidate(spark, sf):
-    """Findings after the corrections, by rule and severity; the rules that look at one record run again."""
-    result = _corrected(spark, sf)
-    found = changes.revalidate(result["records"], result["changed"], _found(spark, sf),
-                               rules.Context(as_of=CTX.as_of, brief=True), rules.LOCAL_RULES)
-    return metrics.rule_severity(found)
+    """Findings after the corrections, by rule and severity."""
+    return metrics.rule_severity(_revalidated(spark, sf))
+
+
+@query
+def revalidated_rollup(spark, sf):
+    """Findings after the corrections, by record."""
+    return rules.rollup(_revalidated(spark, sf))
 
 
 @query
