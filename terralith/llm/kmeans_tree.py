@@ -26,9 +26,9 @@ from terralith.llm.common import stored
 
 #: Rows that the tree is fitted on at most, rows that visits are calibrated with: those with the smallest hashes.
 SAMPLE_ROWS, CALIBRATION_ROWS = 16384, 128
-BRANCHES, LEAF_ROWS, ROUNDS = 16, 48, 8
+BRANCHES, LEAF_ROWS, ROUNDS = 16, 256, 8
 #: Share of the calibration rows' neighbours that must lie in visited leaves.
-WANTED_RECALL = 0.97
+WANTED_RECALL = 0.95
 #: Vectors in a block of a leaf, and queries in one.
 BLOCK_ROWS, BLOCK_QUERIES = 2048, 256
 
@@ -168,36 +168,65 @@ def blocks_of(rows: DataFrame, size: int, *named: str) -> DataFrame:
         "leaf", F.col("rows.a").alias(named[0]), F.flatten("rows.vector").alias(named[1]))
 
 
-def best(q: np.ndarray, vectors: np.ndarray, norms: np.ndarray, first_id: np.ndarray,
+def best(rough: np.ndarray, q: np.ndarray, vectors: np.ndarray, room: float, first_id: np.ndarray,
          k: int) -> tuple[np.ndarray, np.ndarray]:
     """Places and distances of the k vectors nearest to q, ties to the smaller first_id.
 
-    Products tell which can be among them, with room for their rounding; distances are worked out from differences.
+    `rough` orders them by products, right but for rounding errors below `room`; distances come from differences.
     """
-    rough = norms - 2 * (vectors @ q)
     at = np.arange(len(rough))
     if len(rough) > k:
-        room = 1e-9 * (float(q @ q) + float(norms.max()))
         at = np.flatnonzero(rough <= np.partition(rough, k - 1)[k - 1] + room)
     far = np.sqrt(np.square(vectors[at] - q).sum(axis=1))
     order = np.lexsort((first_id[at], far))[:k]
     return at[order], far[order]
 
 
-def nearest_rows(queries: np.ndarray, vectors: np.ndarray, entries: pa.Array, width: int, k: int):
+def first_ids(entries: pa.Array) -> np.ndarray:
+    ends = np.cumsum(pc.list_value_length(entries).to_numpy(zero_copy_only=False))
+    return entries.flatten().to_numpy(zero_copy_only=False)[np.append(0, ends)[:-1]]
+
+
+def nearest_rows(queries: tuple[np.ndarray, np.ndarray], vectors: np.ndarray, entries: pa.Array, width: int,
+                 k: int) -> pa.RecordBatch:
     """For numbered query vectors, the nearest entries as a batch of (query, score, ids)."""
-    numbers, qs = queries
-    vs = vectors.reshape(-1, width)
-    norms = np.square(vs).sum(axis=1)
-    first_id = entries.flatten().to_numpy(zero_copy_only=False)[
-        np.cumsum(np.append(0, pc.list_value_length(entries).to_numpy(zero_copy_only=False)))[:-1]]
-    found = [best(q, vs, norms, first_id, k) for q in qs.reshape(-1, width)]
+    numbers, qs, vs = queries[0], queries[1].reshape(-1, width), vectors.reshape(-1, width)
+    norms, first_id = np.square(vs).sum(axis=1), first_ids(entries)
+    room = 1e-9 * (np.square(qs).sum(axis=1) + norms.max())
+    rough = norms - 2 * (qs @ vs.T)
+    found = [best(r, q, vs, e, first_id, k) for r, q, e in zip(rough, qs, room)]
     at = np.concatenate([a for a, _ in found])
     return pa.RecordBatch.from_arrays([
         pa.array(np.repeat(numbers, [len(a) for a, _ in found])), pa.array(np.concatenate([d for _, d in found])),
         entries.take(pa.array(at))], names=["query", "score", "ids"])
 
 
+def nearest_so_far(found: Iterator[pa.RecordBatch], k: int, held: int = 1 << 17) -> Iterator[pa.RecordBatch]:
+    """The batches of a task with only the k nearest entries of each query, as far as `held` rows reach."""
+    kept, rows = [], 0
+
+    def cut() -> pa.RecordBatch:
+        batch = pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
+        query, score = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        order = np.lexsort((first_ids(batch.column(2)), score, query))
+        new = np.flatnonzero(np.diff(query[order], prepend=query[order[0]] - 1))
+        place = np.arange(len(order)) - np.repeat(new, np.diff(np.append(new, len(order))))
+        return batch.take(pa.array(order[place < k]))
+
+    for batch in found:
+        if batch.num_rows:
+            kept.append(batch)
+            rows += batch.num_rows
+        if rows > held:
+            kept = [cut()]
+            rows = kept[0].num_rows
+            if rows > held // 2:            # more queries than can be held back
+                yield kept.pop()
+                rows = 0
+    if kept:
+        yield cut()
+
+
 FOUND = "query long, score double, ids array<bigint>"
 
 
@@ -209,15 +238,19 @@ def top(found: DataFrame, k: int) -> DataFrame:
     return first.groupBy("query").agg(F.slice(F.array_sort(rows), 1, k).alias("rows"))
 
 
+def parts_of(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(at, size) for at in range(0, batch.num_rows, size))
+
+
 def brute_force(entries: DataFrame, queries: np.ndarray, k: int) -> DataFrame:
     """query (its number), rows: the k nearest rows of a bounded set of vectors, compared with every entry in blocks."""
     shared, width = entries.sparkSession.sparkContext.broadcast(queries), queries.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield nearest_rows((np.arange(len(shared.value)), shared.value), matrix(batch.column(1), width),
-                                   batch.column(0), width, k)
+        numbers = np.arange(len(shared.value))
+        yield from nearest_so_far((nearest_rows((numbers, shared.value), matrix(part.column(1), width), part.column(0),
+                                                width, k)
+                                   for batch in batches for part in parts_of(batch, BLOCK_ROWS)), k)
 
     return top(entries.select("ids", "vector").mapInArrow(run, FOUND), k)
 
@@ -288,12 +321,13 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10, row_id: str = "vec_
     entry_blocks = stored(blocks_of(entries.withColumnRenamed("ids", "a"), BLOCK_ROWS, "ids", "vectors"), "blocks")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                part = batch.slice(i, 1)
+        def found() -> Iterator[pa.RecordBatch]:
+            for part in (part for batch in batches for part in parts_of(batch, 1)):
                 q, qv, v = (part.column(c).flatten().to_numpy(zero_copy_only=False) for c in range(3))
                 yield nearest_rows((q, qv), v, part.column(3).flatten(), width, k + 1)
 
+        yield from nearest_so_far(found(), k + 1)
+
     found = query_blocks.join(entry_blocks, "leaf").select("queries", "query_vectors", "vectors", "ids").mapInArrow(
         compare, FOUND)
     results = stored(top(found, k + 1), "results")
