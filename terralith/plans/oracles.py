@@ -21,7 +21,7 @@ def _values(rows) -> str:
 
 
 # ------------------------------------------------------------------ shared inputs
-_FACTORS = {spelling: factor for factor, spellings in vocab.UNIT_HECTARES for spelling in spellings}
+_FACTORS = vocab.UNIT_HECTARES
 _USED = {"acre": "acre", "hectare": "hectare", "decimal": "decimal", "bigha": "bigha", "guntha": "guntha",
          "kanal": "kanal", "Acres.": "acres", "sq m": "sq m", "katha": "katha", "marla": "marla"}
 
@@ -291,23 +291,14 @@ ORACLES["word_stats"] = _with(WORDS) + """SELECT doc_id, count(*) AS word_count,
   count(*) FILTER (confidence < 70) AS low_confidence_words FROM words GROUP BY 1"""
 ORACLES["union_box"] = _with(WORDS) + """SELECT doc_id, min(bx)::INT AS x, min(ry)::INT AS y, (max(bx + bw) - min(bx))::INT AS w, (max(ry + 16) - min(ry))::INT AS h
   FROM (SELECT doc_id, seq % 50 * 12 AS bx, (seq // 50) * 20 AS ry, length(text) * 8 AS bw FROM words) GROUP BY 1"""
-_HEAD, _BODY = "head", "body"
-
-
-def _like(col: str, *words: str) -> str:
-    return "(" + " OR ".join(f"contains({col}, {_text(w)})" for w in words) + ")"
 
 
+_CLASS_CASES = " ".join(
+    "WHEN " + " OR ".join([f"contains(head, {_text(w)})" for w in heads] + [f"contains(body, {_text(w)})" for w in bodies]
+                          + [f"(contains(head, {_text(h)}) AND contains(body, {_text(b)}))" for h, b in both])
+    + f" THEN '{label}|{score}'" for label, score, heads, bodies, both in vocab.DOCUMENT_CLASSES)
 ORACLES["classify_docs"] = _with(LINES, "texts AS (SELECT doc_id, lower(string_agg(line, ' ' ORDER BY line_no)) AS body, lower(string_agg(line, ' ' ORDER BY line_no) FILTER (rn <= 4)) AS head FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS rn FROM lines) GROUP BY 1)",
-    f"""classed AS (SELECT CASE WHEN {_like('head', *vocab.FORM_39A_MARKERS)} OR (contains(head, 'ଖତିୟାନ') AND contains(body, 'ଖେୱାଟ')) OR (contains(head, 'khatiyan') AND contains(body, 'khewat')) THEN '{vocab.FORM_39A}|0.9'
-  WHEN {_like('head', 'record of rights', 'khatian', 'ଖାତିଆନ', '(ror)')} THEN 'record_of_rights|0.93'
-  WHEN {_like('head', 'mutation register', 'दाखिल', 'ନାମାନ୍ତରଣ')} THEN 'mutation_record|0.9'
-  WHEN {_like('head', 'जमाबंदी', 'jamabandi', 'register', 'rojamcha')} THEN 'register_page|0.85'
-  WHEN {_like('head', 'sale deed', 'पंजीयन')} THEN 'sale_deed|0.82'
-  WHEN {_like('body', 'record of rights', 'ror')} THEN 'record_of_rights|0.75'
-  WHEN {_like('body', 'mutation', 'namantaran', 'ନାମାନ୍ତରଣ')} THEN 'mutation_record|0.7'
-  WHEN {_like('body', 'registration', 'sale deed')} THEN 'sale_deed|0.6'
-  WHEN contains(body, 'register') THEN 'register_page|0.55' ELSE 'unclassified_land_record|0.4' END AS c FROM texts)""") + \
+    f"classed AS (SELECT CASE {_CLASS_CASES} ELSE '{vocab.UNCLASSIFIED[0]}|{vocab.UNCLASSIFIED[1]}' END AS c FROM texts)") + \
     "SELECT split_part(c, '|', 1) AS document_type_label, cast(split_part(c, '|', 2) AS double) AS score, count(*) AS documents FROM classed GROUP BY 1, 2"
 ORACLES["second_pass_lines"] = _with(LINES, "low AS (SELECT doc_id, line_no, lower(line) AS line FROM lines)",
     "kept AS (SELECT doc_id, line FROM lines UNION ALL SELECT l.doc_id, l.line FROM low l WHERE NOT EXISTS (SELECT 1 FROM lines x WHERE x.doc_id = l.doc_id AND x.line = l.line))") + \
@@ -335,7 +326,7 @@ ORACLES["br8_variants"] = _with(RECORDS, VARIANT_NAMES, f"pairs AS ({VARIANT_PAI
     "SELECT id, rule_id, severity, other_record, similarity FROM br8"
 ORACLES["br9_boundary"] = _with(RECORDS, PLOTS, LINKS, BR9) + "SELECT id, rule_id, severity, plot_key, delta_pct FROM br9"
 ORACLES["br10_registration"] = _with(RECORDS, BR10) + f"SELECT {_BRIEF} FROM br10"
-ORACLES["rule_matrix"] = _every("ids AS (SELECT * FROM " + _values([(r[0],) for r in vocab.RULES]) + " AS t(rule_id))",
+ORACLES["rule_matrix"] = _every("ids AS (SELECT * FROM " + _values([(r,) for r in vocab.RULE_NAMES]) + " AS t(rule_id))",
     "per AS (SELECT r.id, i.rule_id, coalesce(sum(l.occurrences), 0) AS n FROM records r CROSS JOIN ids i LEFT JOIN every l ON l.id = r.id AND l.rule_id = i.rule_id GROUP BY 1, 2)") + \
     "SELECT rule_id, n = 0 AS passed, count(*) AS records, sum(n)::BIGINT AS findings FROM per GROUP BY 1, 2"
 ORACLES["finding_rollup"] = _every(ROLL.format(src="every")) + "SELECT id, record_id, discrepancy_count, highest_severity FROM roll JOIN records USING (id)"
