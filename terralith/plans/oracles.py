@@ -329,6 +329,13 @@ ORACLES["br10_registration"] = _with(RECORDS, BR10) + f"SELECT {_BRIEF} FROM br1
 ORACLES["rule_matrix"] = _every("ids AS (SELECT * FROM " + _values([(r,) for r in vocab.RULE_NAMES]) + " AS t(rule_id))",
     "per AS (SELECT r.id, i.rule_id, coalesce(sum(l.occurrences), 0) AS n FROM records r CROSS JOIN ids i LEFT JOIN every l ON l.id = r.id AND l.rule_id = i.rule_id GROUP BY 1, 2)") + \
     "SELECT rule_id, n = 0 AS passed, count(*) AS records, sum(n)::BIGINT AS findings FROM per GROUP BY 1, 2"
+#: Records whose area is no number have none that SQL sums could take in.
+_FAULTY = RECORDS.replace("records AS (", "before AS (") + ", records AS (SELECT * REPLACE (CASE WHEN id % 101 = 0 THEN NULL ELSE area_hectare END AS area_hectare) FROM before)"
+ORACLES["rule_outcomes"] = _every("ids AS (SELECT * FROM " + _values([(r,) for r in vocab.RULE_NAMES]) + " AS t(rule_id))",
+    """per AS (SELECT r.id, i.rule_id, coalesce(sum(l.occurrences), 0) AS n,
+      CASE WHEN r.id % 101 = 0 AND i.rule_id IN ('BR-2', 'BR-9') THEN 'rule error: the area is not a finite number: NaN' ELSE '' END AS detail
+    FROM records r CROSS JOIN ids i LEFT JOIN every l ON l.id = r.id AND l.rule_id = i.rule_id GROUP BY ALL)""", records=_FAULTY) + \
+    "SELECT rule_id, n = 0 AND detail = '' AS passed, detail, count(*) AS records, sum(n)::BIGINT AS findings FROM per GROUP BY 1, 2, 3"
 ORACLES["finding_rollup"] = _every(ROLL.format(src="every")) + "SELECT id, record_id, discrepancy_count, highest_severity FROM roll JOIN records USING (id)"
 ORACLES["duplicate_scan"] = _with(
     RECORDS, "knames AS (SELECT khasra_no AS k, sorted, count(*) AS n FROM records WHERE khasra_no <> '' GROUP BY ALL)",

@@ -233,6 +233,17 @@ def all_rules(spark, sf):
     return metrics.rule_severity(found)
 
 
+@query
+def rule_outcomes(spark, sf):
+    """All ten rules on records of which some have an area that is no number: findings, passes and errors by rule."""
+    bad = F.when(F.col("id") % 101 == 0, F.lit("NaN").cast("double")).otherwise(F.col("area_hectare"))
+    records = d.stored(spark, sf, "records-with-faults", lambda: d.records(spark, sf).withColumn("area_hectare", bad))
+    outcome = d.stored(spark, sf, "outcomes", lambda: rules.judged(records, RULES_RUN, rules.Context(
+        as_of=CTX.as_of, brief=True, sub_plots=d.sub_plots(spark, sf), cadastral=d.cadastral(spark, sf))))
+    matrix = rules.rule_matrix(records, rules.findings_of(outcome), RULES_RUN, rules.rule_errors(outcome))
+    return matrix.groupBy("rule_id", "passed", "detail").agg(F.count("*").alias("records"), F.sum("findings").alias("findings"))
+
+
 @query
 def evidence(spark, sf):
     found = _findings(spark, sf, RULES_RUN, sub_plots=d.sub_plots(spark, sf), cadastral=d.cadastral(spark, sf))
