@@ -99,16 +99,16 @@ def exact_groups(df: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 def drop_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id",
                     block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """df with one row of each group of equal texts, the one that `exact_groups` keeps."""
+    """df with one row of each group of equal texts, the one that `exact_groups` keeps; its columns may have any names."""
     groups = exact_groups(df, text, doc_id, block_chars)
     keys = groups.where("kept").select(
         F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
     repeats = groups.groupBy("doc_id", "text_sha256").agg(F.count("*").alias("__n")).where("__n > 1").select(
         F.col("doc_id").alias("__id2"), F.col("text_sha256").alias("__sha2"), "__n")
     sha = F.sha2(ascii_lower(F.coalesce(F.col(text), F.lit(""))), 256)
-    marked = df.withColumn("__s", sha).join(
-        keys, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__s") == F.col("__sha")), "left_semi").join(
-        repeats, F.col(doc_id).eqNullSafe(F.col("__id2")) & (F.col("__s") == F.col("__sha2")), "left")
+    marked = df.select(F.struct(*df.columns).alias("row"), F.col(doc_id).alias("__own"), sha.alias("__s")).join(
+        keys, F.col("__own").eqNullSafe(F.col("__id")) & (F.col("__s") == F.col("__sha")), "left_semi").join(
+        repeats, F.col("__own").eqNullSafe(F.col("__id2")) & (F.col("__s") == F.col("__sha2")), "left")
     once = marked.where(F.col("__n").isNull())
     several = marked.where(F.col("__n").isNotNull()).dropDuplicates(["__id2", "__sha2"])
-    return once.unionByName(several).select(*df.columns)
+    return once.unionByName(several).select("row.*")

@@ -77,3 +77,10 @@ def mix(df: DataFrame, weights: Mapping[str, float], source: str = "source", doc
         "copy", F.explode(F.sequence(F.lit(0), F.col("__n") - 1))).drop("__n")
     return copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(seed), name, F.col("copy")))).orderBy(
         "shuffle_key")
+
+
+def mixed_rows(df: DataFrame, weights: Mapping[str, float], source: str = "source", doc_id: str = "doc_id",
+               total: float | None = None, seed: str = SEED, default: float | None = None) -> DataFrame:
+    """The rows of `mix` with the columns of df alone, whatever their names: a `copy` or `shuffle_key` of df stays."""
+    packed = df.select(F.struct(*df.columns).alias("row"), F.col(source).alias("source"), F.col(doc_id).alias("doc_id"))
+    return mix(packed, weights, total=total, seed=seed, default=default).select("row.*")

@@ -280,8 +280,8 @@ def near_groups(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shing
 
 def drop_near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE_WORDS,
                          similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """df with one row of each component of `near_groups`."""
-    rows = keyed(df, doc_id)
-    texts = rows.select("row_id", F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    kept = _grouped(texts, shingle, similarity).where("kept").select("row_id")
-    return rows.join(kept, "row_id", "left_semi").select(*df.columns)
+    """df with one row of each component of `near_groups`; its columns may have any names."""
+    packed = df.select(F.struct(*df.columns).alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows = keyed(packed, "doc_id")
+    kept = _grouped(rows.select("row_id", "doc_id", "text"), shingle, similarity).where("kept").select("row_id")
+    return rows.join(kept, "row_id", "left_semi").select("row.*")

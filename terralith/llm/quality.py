@@ -155,6 +155,8 @@ def score(df: DataFrame, model: Model, text: str = "text", into: str = "score")
 
 def keep_good(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id",
               threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of df that score `threshold` or more."""
-    return score(df, fit(df, labels, text, doc_id), text, "__score").where(
-        F.col("__score") >= threshold).select(*df.columns)
+    """The rows of df that score `threshold` or more; its columns may have any names."""
+    into = "score"
+    while into in df.columns:
+        into += "_"
+    return score(df, fit(df, labels, text, doc_id), text, into).where(F.col(into) >= threshold).select(*df.columns)
