@@ -32,12 +32,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated to the target shares of their sources, in shuffled order."""
-    return mixing.mix(docs, MIX_WEIGHTS, default=OTHER_WEIGHT).select(*docs.columns)
+    return mixing.mixed_rows(docs, MIX_WEIGHTS, default=OTHER_WEIGHT)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with the ids of their pieces."""
-    return sentencepiece_nbest.encode(docs)
+    """Documents with the ids of their pieces. Columns of docs with the names of the results give way to these."""
+    return sentencepiece_nbest.encode(docs.drop(*(f.name for f in sentencepiece_nbest.FIELDS)))
 
 
 STAGES = [
