@@ -22,5 +22,5 @@ def test_own_names_do_not_matter(spark):
         assert out.columns == df.columns and rows and set(rows) <= before
     kept = exact_dedup.drop_duplicates(df)
     assert kept.count() == 4 and ngram_join.drop_near_duplicates(df).count() < df.count()
-    drawn = mixing.mix(df.drop("copy", "shuffle_key", "__n"), {"x": 1.0}, default=1.0).select("row_id").collect()
+    drawn = mixing.mix(df.select("doc_id", "source", "row_id"), {"x": 1.0}, default=1.0).select("row_id").collect()
     assert sorted(r.row_id for r in drawn) == sorted(r.row_id for r in mixing.mixed_rows(df, {"x": 1.0}, default=1.0).collect())
