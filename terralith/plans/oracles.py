@@ -497,3 +497,11 @@ ORACLES["sub_plot_rows"] = _with(RECORDS) + """SELECT record_id, concat(khasra_n
 # ------------------------------------------------------------------ streams
 ORACLES["stream_ingest"] = "SELECT count(DISTINCT sha256(text)) AS stored, count(DISTINCT sha256(text)) AS hashes FROM documents"
 ORACLES["stream_daily"] = _with(DOCS) + "SELECT cast(created_at AS date) AS day, count(*) AS documents FROM docs GROUP BY 1"
+ORACLES["stream_pending"] = """WITH changes AS (SELECT 'LR-' || user_id AS record_id, event_type NOT IN ('signup', 'purchase') AS pending,
+    date_trunc('milliseconds', ts) AS ts, event_id FROM events),
+  runs AS (SELECT *, count(*) FILTER (NOT pending) OVER (PARTITION BY record_id ORDER BY ts, event_id) AS run FROM changes),
+  waits AS (SELECT record_id, run, min(ts) FILTER (pending) AS since,
+    lead(min(ts)) OVER (PARTITION BY record_id ORDER BY run) AS until FROM runs GROUP BY record_id, run)
+SELECT record_id, since AS pending_since FROM waits
+WHERE since IS NOT NULL AND coalesce(until, (SELECT max(ts) - interval 1 hour FROM changes)) >= since + interval 48 hour"""
+ORACLES["stream_alerts"] = ORACLES["notify_fanout"]

@@ -576,3 +576,16 @@ def stream_ingest(spark, sf):
 @query
 def stream_daily(spark, sf):
     return streams.daily(spark, sf)
+
+
+@query
+def stream_pending(spark, sf):
+    """Records that waited 48 hours for a decision, from the stream of their status changes."""
+    return streams.waiting(spark, sf)
+
+
+@query
+def stream_alerts(spark, sf):
+    """Unread alerts per reviewer from the alert stream."""
+    events = streams.announced(spark, sf, _found(spark, sf), d.records(spark, sf))
+    return notifications.fan_out_counts(events, d.users(spark, sf))

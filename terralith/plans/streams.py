@@ -48,3 +48,31 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
              .option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).start())
     query.awaitTermination()
     return spark.read.parquet(store).groupBy("day").agg(F.max_by("documents", "batch_no").alias("documents"))
+
+
+def status_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as a stream of status changes of one record per user."""
+    schema = d.table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    status = F.when(F.col("event_type").isin("signup", "purchase"), "approved").otherwise("pending_review")
+    return stream.select(F.concat(F.lit("LR-"), F.col("user_id").cast("string")).alias("record_id"), status.alias("status"),
+                         F.col("ts").cast("timestamp").alias("ts"))
+
+
+def waiting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every wait of 48 hours and more, alerted by timers or by the event that ended it."""
+    work = _work(spark, "pending")
+    store = f"{work}/store"
+    alerts = jobs.pending_alerts(status_changes(spark, sf_dir))
+    alerts.writeStream.format("parquet").option("path", store).option("checkpointLocation", f"{work}/checkpoint").trigger(
+        availableNow=True).start().awaitTermination()
+    return spark.read.parquet(store)
+
+
+def announced(spark: SparkSession, sf_dir: str, findings: DataFrame, records: DataFrame) -> DataFrame:
+    """Events that the alert job writes for a table of findings, read as a stream of its files."""
+    work = _work(spark, "severe")
+    findings.write.parquet(f"{work}/findings")
+    stream = spark.readStream.schema(findings.schema).parquet(f"{work}/findings")
+    jobs.severe_alerts(stream, records, f"{work}/store", f"{work}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{work}/store")

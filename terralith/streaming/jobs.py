@@ -7,10 +7,10 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from terralith.operators import audit
-from terralith.sources.documents import deduplicate
+from terralith.operators import audit, notifications, rules
 
 
 def _start(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
@@ -24,24 +24,80 @@ def _write_batch(out: DataFrame, batch_id: int, store: str) -> None:
      .option("partitionOverwriteMode", "dynamic").partitionBy("batch_no").parquet(store))
 
 
+def stateful(spark: SparkSession) -> None:
+    """Keyed state is kept by RocksDB on the executors; a stream takes the provider that is set when it starts."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
+                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+class FirstOfHash(StatefulProcessor):
+    """Which uploads of a content hash are taken; the state is the id of the first copy that is alive.
+
+    The first upload of a hash in a batch is taken while no live copy is known; a copy that failed or was rejected is
+    none, so the hash is taken again later.
+    """
+
+    def __init__(self, order: str, id_type: str):
+        self.order, self.id_type = order, id_type
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.live = handle.getValueState("live", f"doc_id {self.id_type}")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        known = self.live.get()[0] if self.live.exists() else None
+        uploads = pd.concat(list(rows)).sort_values(self.order, kind="stable", ignore_index=True)
+        first = uploads.iloc[0]
+        taken = known is None
+        existing = known if known is not None else first["doc_id"]
+        outcome = ["skipped"] * len(uploads)
+        if taken:
+            outcome[0] = "taken"
+            if first["status"] != "failed" and first["record_status"] != "rejected":
+                id_of = int if self.id_type in ("bigint", "int") else str
+                self.live.update((id_of(first["doc_id"]),))
+        yield uploads.assign(existing_doc_id=pd.Series([existing] * len(uploads), dtype=object),
+                             outcome=pd.Series(outcome, dtype=object))
+
+    def close(self) -> None:
+        pass
+
+
 def ingest(uploads: DataFrame, store: str, checkpoint: str, process: Callable[[DataFrame], DataFrame] | None = None,
-           skipped: str | None = None) -> StreamingQuery:
+           skipped: str | None = None, order: str = "seq") -> StreamingQuery:
     """Take each content hash once, however late its upload comes; a hash whose copies all failed is taken again.
 
-    Every batch is compared with the earlier ones by the columns that decide on it. Uploads that are not taken go to
-    the table ``skipped`` with their reason. No watermark: nothing is dropped for being late.
+    What is known of a hash is keyed state, so a batch reads neither the store nor any index of it: its cost is that of
+    its own uploads, whatever came before. Uploads that are not taken go to the table ``skipped`` with their reason. No
+    watermark: nothing is dropped for being late, and the state holds one id per hash.
     """
+    stateful(uploads.sparkSession)
+    id_type = uploads.schema["doc_id"].dataType
+    kind = T.StructType([*uploads.schema.fields, T.StructField("existing_doc_id", id_type), T.StructField("outcome", T.StringType())])
+    judged = uploads.groupBy("file_hash").transformWithStateInPandas(
+        FirstOfHash(order, id_type.simpleString()), outputStructType=kind, outputMode="Append", timeMode="None")
+
     def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        stored = None
-        if _exists(spark, store):
-            stored = spark.read.parquet(store).where(F.col("batch_no") < batch_id)
-        fresh, rest = deduplicate(batch, stored)
+        held = batch.persist()
         if skipped:
-            _write_batch(rest, batch_id, skipped)
+            _write_batch(held.where("outcome = 'skipped'").drop("outcome").withColumn(
+                "reason", F.lit("duplicate_file_hash")), batch_id, skipped)
+        fresh = held.where("outcome = 'taken'").select(*uploads.columns)
         _write_batch(process(fresh) if process else fresh, batch_id, store)
+        held.unpersist()
+
+    return _start(judged, handle, checkpoint)
 
-    return _start(uploads, handle, checkpoint)
+
+def compact(spark: SparkSession, store: str, before: int, into: str) -> None:
+    """Batches under ``before`` of a store as one partition, batch_no = -1, of the table ``into``; later ones as they are.
+
+    The old store stays as it is until readers have moved on; row counts are compared before this returns.
+    """
+    rows = spark.read.parquet(store)
+    merged = rows.withColumn("batch_no", F.when(F.col("batch_no") < before, F.lit(-1)).otherwise(F.col("batch_no")))
+    merged.repartition("batch_no").write.partitionBy("batch_no").parquet(into)
+    if spark.read.parquet(into).count() != rows.count():
+        raise RuntimeError(f"{into} does not hold what {store} holds")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -93,6 +149,11 @@ def _last_head(spark: SparkSession, heads: str, batch_id: int):
         "id", "entry_hash").first()
 
 
+def _alerts(record_id: str, since_ms: list[int]) -> pd.DataFrame:
+    return pd.DataFrame({"record_id": pd.Series([record_id] * len(since_ms), dtype=object),
+                         "pending_since": pd.to_datetime(pd.Series(since_ms, dtype="int64"), unit="ms")})
+
+
 class PendingTimer(StatefulProcessor):
     """One timer per record: opens when the record turns pending, is cancelled by any other status."""
 
@@ -109,31 +170,58 @@ class PendingTimer(StatefulProcessor):
         self.since.clear()
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        events = pd.concat(list(rows)).sort_values("ts")
-        last = events.iloc[-1]
-        at = int(last["ts"].timestamp() * 1000)
-        if last["status"] != "pending_review":
+        """Events in their order. One that ends a wait which was over already alerts as the timer would have done."""
+        events = pd.concat(list(rows)).sort_values("ts", kind="stable")
+        since = self.since.get()[0] if self.since.exists() else None
+        before, due = since, []
+        for ts, status in zip(events["ts"], events["status"]):
+            at = int(ts.timestamp() * 1000)
+            if since is not None and since >= 0 and at >= since + self.wait_ms:
+                due.append(since)
+                since = -1                                  # alerted: silent until another status comes
+            if status != "pending_review":
+                since = None
+            elif since is None:
+                since = at
+        if since != before:
             self._cancel()
-        elif not self.since.exists():
-            self.since.update((at,))
-            self.handle.registerTimer(at + self.wait_ms)
-        yield pd.DataFrame({"record_id": pd.Series(dtype=str), "pending_since": pd.Series(dtype="datetime64[ns]")})
+            if since is not None:
+                self.since.update((since,))
+                if since >= 0:
+                    self.handle.registerTimer(since + self.wait_ms)
+        yield _alerts(key[0], due)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.since.exists():
-            since = self.since.get()[0]
-            self.since.clear()
-            yield pd.DataFrame({"record_id": [key[0]], "pending_since": [pd.Timestamp(since, unit="ms")]})
+        since = self.since.get()[0] if self.since.exists() else -1
+        if since >= 0:
+            self.since.update((-1,))
+            yield _alerts(key[0], [since])
 
     def close(self) -> None:
         pass
 
 
 def pending_alerts(status_changes: DataFrame, hours: int = 48, delay: str = "1 hour") -> DataFrame:
-    """Alert once per record that stays pending for ``hours``; input (record_id, status, ts).
+    """Alert once for every time that a record stays pending for ``hours``; input (record_id, status, ts).
 
-    Needs the RocksDB state store provider.
+    Which alerts there are does not depend on how the events are dealt into batches.
     """
+    stateful(status_changes.sparkSession)
     return (status_changes.withWatermark("ts", delay).groupBy("record_id").transformWithStateInPandas(
         statefulProcessor=PendingTimer(hours), outputStructType="record_id string, pending_since timestamp",
         outputMode="Append", timeMode="EventTime"))
+
+
+def severe_alerts(findings: DataFrame, records: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
+    """Reviewer events for records with a high or critical finding: a stream of findings joined with the table of records.
+
+    The findings of a record come in one batch, as the job that makes them writes them; each batch that has some announces
+    it. A batch replayed after a failure replaces its own events. Who is addressed is a join of the events with the
+    users of that time (``notifications.fan_out``), so the store does not multiply by the number of users.
+    """
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        totals = rules.rollup(batch).drop("record_id")
+        rolled = records.drop("discrepancy_count", "highest_severity").join(totals, "id")
+        _write_batch(notifications.high_severity_events(rolled), batch_id, store)
+
+    return _start(findings, handle, checkpoint)
