@@ -505,3 +505,52 @@ ORACLES["stream_pending"] = """WITH changes AS (SELECT 'LR-' || user_id AS recor
 SELECT record_id, since AS pending_since FROM waits
 WHERE since IS NOT NULL AND coalesce(until, (SELECT max(ts) - interval 1 hour FROM changes)) >= since + interval 48 hour"""
 ORACLES["stream_alerts"] = ORACLES["notify_fanout"]
+
+
+def _metric(section: str, metric: str, value: str, source: str, where: str = "") -> str:
+    return f"SELECT '{section}' AS section, '{metric}' AS metric, CAST({value} AS VARCHAR) AS value FROM {source}{where and ' WHERE ' + where}"
+
+
+def _parts(section: str, prefix: str, name: str, source: str, value: str = "count(*)", where: str = "") -> str:
+    return (f"SELECT '{section}', '{prefix}.' || {name}, CAST({value} AS VARCHAR) FROM {source}{where and ' WHERE ' + where} GROUP BY 2")
+
+
+def _pct(part: str, whole: str = "count(*)") -> str:
+    return f"coalesce(round({part} / nullif({whole}, 0)::DOUBLE * 100, 1), 0.0::DOUBLE)"
+
+
+_LINKED = "links LEFT JOIN (SELECT id AS fid, discrepancy_count FROM roll) f ON f.fid = links.id"
+_CONF = "avg(record_confidence) FILTER (record_confidence > 0)"
+_PROCESSED = "count(*) FILTER (status IN ('completed', 'needs_review'))"
+_WHO = "coalesce(CAST(assigned_to_id AS VARCHAR), '(unassigned)')"
+_MAPPED = "CASE WHEN {c} = '' THEN '(unmapped)' ELSE {c} END"
+_ACTIONS = "(SELECT 'village' AS field_name FROM records WHERE id % 3 = 0 UNION ALL SELECT 'area' FROM records WHERE id % 5 = 0 UNION ALL SELECT 'owner_name' FROM records WHERE id % 7 = 0 UNION ALL SELECT 'status' FROM records WHERE id % 11 = 0)"
+_SEVERE = "coalesce(sum(occurrences), 0)::BIGINT"
+ORACLES["mis_snapshot"] = _every(ROLL.format(src="every"), DOCS) + " UNION ALL ".join([
+    _metric("records", "total", "count(*)", "records"),
+    *[_metric("records", s, "count(*)", "records", f"status = '{s}'") for s in ("pending_review", "approved", "rejected", "escalated")],
+    _metric("records", "flagged", "count(*)", _LINKED, "discrepancy_count > 0"),
+    _parts("records", "by_status", "status", "records"),
+    _metric("extraction", "average_record_confidence", f"round({_CONF}, 2)", "records"),
+    _metric("extraction", "estimated_accuracy_pct", f"round({_CONF}, 1)", "records"),
+    _metric("extraction", "low_confidence_records", "count(*)", "records", "record_confidence < 70"),
+    _metric("extraction", "gis_linked_records", "count(*)", "links", "match_type <> 'none'"),
+    _metric("extraction", "gis_link_rate_pct", _pct("count(*) FILTER (match_type <> 'none')"), "links"),
+    _metric("progress", "review_completion_pct", _pct("count(*) FILTER (status IN ('approved', 'rejected'))"), "records"),
+    _parts("progress", "by_district", _MAPPED.format(c="district"), "records"),
+    _parts("progress", "by_tehsil", _MAPPED.format(c="tehsil"), "records"),
+    _parts("progress", "reviewer_workload", _WHO, "records", where="status = 'pending_review'"),
+    _metric("documents", "uploaded", "count(*)", "docs"), _metric("documents", "processed", _PROCESSED, "docs"),
+    _metric("documents", "failed", "count(*)", "docs", "status = 'failed'"), _parts("documents", "by_status", "status", "docs"),
+    _metric("performance", "average_pipeline_latency_ms", "round(avg(total_latency_ms) FILTER (total_latency_ms > 0), 1)", "docs"),
+    _metric("performance", "slowest_document_ms", "max(total_latency_ms)", "docs"),
+    _metric("performance", "average_ocr_latency_ms", "round(avg(ocr_latency_ms) FILTER (ocr_latency_ms > 0), 1)", "docs"),
+    _metric("performance", "budget_ms", "10000", "(SELECT 1)"),
+    _metric("performance", "within_budget", "avg(total_latency_ms) FILTER (total_latency_ms > 0) <= 10000", "docs"),
+    _metric("progress", "digitisation_pct", _pct(_PROCESSED), "docs"),
+    _parts("progress", "last_7_days", "CAST(CAST(created_at AS DATE) AS VARCHAR)", "docs", where="created_at >= timestamp '2024-01-24 00:00:00'"),
+    _metric("validation", "discrepancies_total", _SEVERE, "every"), _metric("validation", "discrepancies_open", _SEVERE, "every"),
+    _metric("validation", "high_and_critical", _SEVERE, "every", "severity IN ('high', 'critical')"),
+    _parts("validation", "by_severity", "severity", "every", _SEVERE), _parts("validation", "rule_wise", "rule_id", "every", _SEVERE),
+    _metric("learning", "corrections_captured", "count(*)", _ACTIONS), _metric("learning", "distinct_fields_corrected", "count(DISTINCT field_name)", _ACTIONS),
+    _metric("audit", "events", "count(*)", "events")])

@@ -352,7 +352,8 @@ def cross_status(spark, sf):
 def mis_snapshot(spark, sf):
     records, found = d.records(spark, sf), _found(spark, sf)
     linked = parcels.link_records(rules.with_rollup(records, found), d.cadastral(spark, sf))
-    return metrics.snapshot(linked, d.documents(spark, sf), found, d.corrections(spark, sf), d.audit_entries(spark, sf))
+    return metrics.snapshot(linked, d.documents(spark, sf), found, d.corrections(spark, sf), d.audit_entries(spark, sf),
+                            as_of=DOC_AS_OF)
 
 
 @query
