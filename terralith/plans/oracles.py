@@ -554,3 +554,10 @@ ORACLES["mis_snapshot"] = _every(ROLL.format(src="every"), DOCS) + " UNION ALL "
     _parts("validation", "by_severity", "severity", "every", _SEVERE), _parts("validation", "rule_wise", "rule_id", "every", _SEVERE),
     _metric("learning", "corrections_captured", "count(*)", _ACTIONS), _metric("learning", "distinct_fields_corrected", "count(DISTINCT field_name)", _ACTIONS),
     _metric("audit", "events", "count(*)", "events")])
+
+_SIDES = ", ".join(f"'{side} of ' || address AS {side}" for side in vocab.BOUNDARY_MARKS)
+ORACLES["form_records"] = _with(RECORDS) + f"""SELECT record_id, owner_name, guardian_name, '{vocab.FORM_39A}' AS document_type_label,
+  (1 + (new_owner <> '' AND NOT (new_owner = owner_name AND guardian_name = ''))::INT)::INT AS persons, owner_name AS first_person, guardian_name AS father, {_SIDES}
+FROM records WHERE owner_name <> ''"""
+ORACLES["form_parcels"] = _with(RECORDS) + """SELECT record_id, round(0.25 * 0.00404686 + 1e-9, 6) + round(1.5 * 0.00404686 + 1e-9, 6) AS declared_sum, 2::BIGINT AS declared_count
+FROM records WHERE owner_name <> ''"""

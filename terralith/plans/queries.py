@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from terralith import vocab
 from terralith.functions import text
-from terralith.operators import (audit, chains, changes, checks, extraction, form39a, layout, matching, metrics,
+from terralith.operators import (assembly, audit, chains, changes, checks, extraction, form39a, layout, matching, metrics,
                                  notifications, parcels, revalidation, rules, search)
 from terralith.plans import streams
 from terralith.sources import derived as d
@@ -540,6 +540,32 @@ def extract_records(spark, sf):
                       "district", "mutation_no", "area_value", "area_hectare")
 
 
+def _assembled(spark, sf):
+    """Records and parcels of the form's pages, each written once."""
+    records = d.stored(spark, sf, "form-records", lambda: assembly.assemble(d.form_pages(spark, sf))[0])
+    pages = d.form_pages(spark, sf)
+    lines = extraction.lines_of(pages)
+    parcels = d.stored(spark, sf, "form-parcels", lambda: assembly.parcels_of(pages, lines, extraction.extract_pages(pages)))
+    return records, parcels
+
+
+@query
+def form_records(spark, sf):
+    """Pages of the form back to records: persons, boundary and class must come back as they were written."""
+    records, _ = _assembled(spark, sf)
+    owner = F.get("owners", F.lit(0))
+    return records.select(F.col("doc_id").alias("record_id"), "owner_name", "guardian_name", "document_type_label", F.size("owners").alias("persons"),
+                          owner["name"].alias("first_person"), owner["relation_name"].alias("father"),
+                          *[F.col(f"boundary.{side}").alias(side) for side in assembly.SIDES])
+
+
+@query
+def form_parcels(spark, sf):
+    """Parcels read off the form, summed per record."""
+    _, parcels = _assembled(spark, sf)
+    return rules.sub_plot_sums(parcels)
+
+
 @query
 def field_status(spark, sf):
     return extraction.merge_pages(_fields(spark, sf)).groupBy("field_name", "status").agg(F.count("*").alias("n"))

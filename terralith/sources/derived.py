@@ -340,6 +340,21 @@ def register_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.select(F.col("record_id").alias("doc_id"), F.inline(pages))
 
 
+def form_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two pages of the Odia form per record with an owner: persons and boundary, then a table of two parcels."""
+    base = records(spark, sf_dir).where(text.is_set(F.col("owner_name")))
+    father, other = F.col("guardian_name"), F.col("new_owner")
+    first = F.concat_ws(
+        "\n", F.lit("Form No.39-A"), F.lit(vocab.PERSON_HEADERS[0]),
+        F.concat("owner_name", F.when(father != "", F.concat(F.lit(f" {vocab.FATHER_MARK} "), father)).otherwise(""), F.lit(",")),
+        F.when(other != "", F.concat(other, F.lit(","))), F.lit(vocab.BOUNDARY_HEADERS[0]),
+        F.concat(*[x for side, mark in vocab.BOUNDARY_MARKS.items() for x in (F.lit(f"{mark} {side} of "), "address", F.lit(", "))]))
+    k = (F.col("id") % 90).cast("string")
+    second = F.concat_ws("\n", F.lit("Form No.39-A"), F.concat(F.lit("3"), k, F.lit("/1 0.25")), F.concat(F.lit("3"), k, F.lit("/2 1.50")))
+    pages = F.array(F.struct(F.lit(1).alias("page"), first.alias("text")), F.struct(F.lit(2).alias("page"), second.alias("text")))
+    return base.select(F.col("record_id").alias("doc_id"), F.inline(pages))
+
+
 USER_ROLES = ["reviewer", "supervisor", "admin", "operator"]
 
 
