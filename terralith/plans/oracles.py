@@ -561,3 +561,8 @@ ORACLES["form_records"] = _with(RECORDS) + f"""SELECT record_id, owner_name, gua
 FROM records WHERE owner_name <> ''"""
 ORACLES["form_parcels"] = _with(RECORDS) + """SELECT record_id, round(0.25 * 0.00404686 + 1e-9, 6) + round(1.5 * 0.00404686 + 1e-9, 6) AS declared_sum, 2::BIGINT AS declared_count
 FROM records WHERE owner_name <> ''"""
+# a page without an area line shows the area of its child plot, if it lists one; of "sq m" a page gives the word before the blank
+_CHILD_ONLY = "area_raw = '' AND khasra_no <> '' AND parent_khasra_no = ''"
+ORACLES["extract_records"] = _with(RECORDS) + f"""SELECT record_id, khasra_no, khata_no, survey_no, owner_name, district, mutation_no,
+  CASE WHEN {_CHILD_ONLY} THEN 0.5::DOUBLE WHEN area_raw = '' THEN 0.0::DOUBLE ELSE area_value END AS area_value,
+  CASE WHEN {_CHILD_ONLY} THEN 0.202343::DOUBLE WHEN area_raw = '' OR area_unit = 'sq m' THEN 0.0::DOUBLE ELSE area_hectare END AS area_hectare FROM records"""
