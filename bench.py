@@ -10,7 +10,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from terralith.config import build_session, tune  # noqa: E402
-from terralith.plans.queries import QUERIES  # noqa: E402
+from terralith.plans.queries import QUERIES, _found as stored_findings  # noqa: E402
 from terralith.sources import derived  # noqa: E402
 
 HEADLINE = ["review_queue", "br3_duplicates", "br4_chronology", "br7_admin", "parcel_link", "parcel_neighbours",
@@ -30,6 +30,9 @@ def main() -> None:
     start = time.time()
     derived.records(spark, sf_dir).count()
     times["derive_records"] = round(time.time() - start, 3)
+    start = time.time()
+    stored_findings(spark, sf_dir).count()
+    times["derive_findings"] = round(time.time() - start, 3)
     names = [n for n in os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",") if n]
     for name in names:
         start = time.time()
