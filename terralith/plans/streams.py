@@ -16,11 +16,15 @@ def _work(spark: SparkSession, name: str) -> str:
     return f"{config.checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def _stream(spark: SparkSession, sf_dir: str, name: str, **options) -> DataFrame:
+    """A table as a file stream, be it one file or a folder of part files (the pattern matches the table's own path)."""
+    schema = d.table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).options(**options).parquet(f"{sf_dir}/[{name[0]}]{name[1:]}.parquet")
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents table as a file stream, with the columns of the inventory."""
-    schema = d.table(spark, sf_dir, "documents").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").option(
-        "maxFilesPerTrigger", 100).parquet(sf_dir)
+    stream = _stream(spark, sf_dir, "documents", maxFilesPerTrigger=100)
     return stream.selectExpr(*[f"{e} as {n}" for n, e in d.DOCUMENT_COLUMNS.items()], "sha2(text, 256) as file_hash")
 
 
@@ -51,12 +55,11 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def status_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a stream of status changes of one record per user."""
-    schema = d.table(spark, sf_dir, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    """The events table as a stream of status changes of one record per user; changes of one moment in order of their ids."""
+    stream = _stream(spark, sf_dir, "events")
     status = F.when(F.col("event_type").isin("signup", "purchase"), "approved").otherwise("pending_review")
     return stream.select(F.concat(F.lit("LR-"), F.col("user_id").cast("string")).alias("record_id"), status.alias("status"),
-                         F.col("ts").cast("timestamp").alias("ts"))
+                         F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"))
 
 
 def waiting(spark: SparkSession, sf_dir: str) -> DataFrame:

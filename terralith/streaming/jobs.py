@@ -171,11 +171,13 @@ class PendingTimer(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         """Events in their order. One that ends a wait which was over already alerts as the timer would have done."""
-        events = pd.concat(list(rows)).sort_values("ts", kind="stable")
+        events = pd.concat(list(rows))
+        events["ts"] = events["ts"].dt.floor("ms")              # what state and timers keep of a moment
+        events = events.sort_values(["ts", "seq"] if "seq" in events else ["ts"], kind="stable")
         since = self.since.get()[0] if self.since.exists() else None
         before, due = since, []
         for ts, status in zip(events["ts"], events["status"]):
-            at = int(ts.timestamp() * 1000)
+            at = ts.value // 1_000_000
             if since is not None and since >= 0 and at >= since + self.wait_ms:
                 due.append(since)
                 since = -1                                  # alerted: silent until another status comes
@@ -202,7 +204,8 @@ class PendingTimer(StatefulProcessor):
 
 
 def pending_alerts(status_changes: DataFrame, hours: int = 48, delay: str = "1 hour") -> DataFrame:
-    """Alert once for every time that a record stays pending for ``hours``; input (record_id, status, ts).
+    """Alert once for every time that a record stays pending for ``hours``; input (record_id, status, ts and, where events
+    of one record may fall into one millisecond, seq as their order).
 
     Which alerts there are does not depend on how the events are dealt into batches.
     """
