@@ -90,3 +90,24 @@ def test_encoding_round_trip(spark):
     assert encode(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         encode(out)
+
+
+def test_all_segmentations_come_with_their_ids(spark):
+    texts = ["abca bc  ab", None, "", "The café\n is open", "a", "word " * 300]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    v = Vocabulary.load()
+    s = Segmenter(v)
+    for r in encode(df).collect():
+        paths = s.encode_paths(r.text or "")
+        assert r.nbest_ids == [] if not r.text else r.nbest_ids[0] == r.ids
+        assert len(r.nbest_ids) == len(r.nbest_scores) == len(paths) == len(set(map(tuple, r.nbest_ids)))
+        assert np.allclose(r.nbest_scores, [x for x, _ in paths])
+        for ids, score in zip(r.nbest_ids, r.nbest_scores):
+            assert decode(ids, v) == r.text and (r.text[:3] == "The" or np.isclose(sum(v.scores[i] for i in ids), score))
+    v = small_vocabulary()
+    table = {v.pieces[i]: (v.scores[i], i) for i in v.normal}
+    s = Segmenter(v, n_best=6, remembered=1)
+    for text in ["abc a", "a b", "  abca bc", "éa ab", "ab  c\nab"]:
+        every = dict((p, x) for x, p in every_path("▁" + text.replace(" ", "▁"), table, s.unknown, v.byte_ids))
+        for score, ids in s.encode_all([text])[0]:
+            assert np.isclose(every[tuple(ids.tolist())], score)
