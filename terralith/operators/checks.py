@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from terralith import config
 from terralith.functions import text
 from terralith.operators import parcels
-from terralith.operators.rules import village_lookup
+from terralith.operators.rules import with_village
 
 SYSTEMS = ["bhulekh", "bhunaksha", "igr", "lgd", "lrms"]
 
@@ -92,7 +92,7 @@ def deed_check(records: DataFrame, deeds: DataFrame) -> DataFrame:
 
 def admin_check(records: DataFrame) -> DataFrame:
     """Village master: ok is matched, a wrong tehsil is a mismatch, anything else is not found."""
-    looked = records.withColumn("_v", village_lookup(F.col("village"), F.col("tehsil")))
+    looked = with_village(records, "_v")
     found = F.col("_v.status")
     status = F.when(found == "ok", "matched").when(found == "hierarchy_mismatch", "mismatch").otherwise("not_found")
     detail = (F.when(found == "ok", F.format_string(
