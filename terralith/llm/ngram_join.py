@@ -13,6 +13,7 @@ import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -26,6 +27,8 @@ SHINGLE_WORDS = 5
 SIMILARITY = (8, 10)
 #: Longs of the parity map that goes with a set.
 PARITY_LONGS = 16
+#: Slices of the shingles that are counted one after the other; the disk holds the rows of one or two.
+REACH_SLICES = 8
 
 
 @dataclass(frozen=True)
@@ -191,35 +194,46 @@ def _open_members(groups: DataFrame, reached: DataFrame) -> DataFrame:
     return stored(members.join(split, "signature", "left_semi"), "open-groups")
 
 
+def _reach(members: DataFrame, features: DataFrame) -> DataFrame:
+    """set_id, reach: how many shingles of a set occur in a set of another component, for sets that have some.
+
+    A row per shingle is several times the texts, so slices of the shingles are counted one after the other.
+    """
+    held = features.join(members.select("set_id", "component").distinct(), "set_id").select(
+        "set_id", "component", F.explode("features").alias("shingle"))
+    counted = []
+    for i in range(REACH_SLICES):
+        part = held.where(F.pmod("shingle", F.lit(REACH_SLICES)) == i)
+        shared = part.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).where(
+            "x <> y").select("shingle")
+        counted.append(stored(part.select("set_id", "shingle").join(shared, "shingle", "left_semi").groupBy(
+            "set_id").agg(F.count("*").alias("reach")), "reach"))
+    return reduce(DataFrame.unionByName, counted).groupBy("set_id").agg(F.sum("reach").alias("reach"))
+
+
 def _crossing(members: DataFrame, sets: DataFrame, features: DataFrame, num: int, den: int) -> DataFrame:
     """All pairs (a, b) of sets in different components that share a signature and may be similar.
 
     What a set can have in common with sets of other components is at most the number of its shingles that occur in
     one. Sets for which that is too few for any partner in their group are left out before the join, pairs for which
-    it is too few, or whose parity maps differ too much, in the join's condition; a pair comes out once, at the
-    smallest signature it shares.
+    it is too few, or whose parity maps differ too much, in the join's condition. What is left of the pairs is made
+    distinct: rows that carry all signatures of their set, to tell the first one a pair shares, took ten times the disk.
     """
-    held = features.join(members.select("set_id", "component").distinct(), "set_id").select(
-        "set_id", "component", F.size("features").alias("n"), F.explode("features").alias("shingle"))
-    shared = held.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).where(
-        "x <> y").select("shingle")
-    reach = held.join(shared, "shingle", "left_semi").groupBy("set_id", "n").agg(F.count("*").alias("reach"))
-    sized = members.join(reach, "set_id")
+    sized = members.join(_reach(members, features), "set_id").join(
+        sets.select("set_id", F.col("n_shingles").alias("n")), "set_id")
     smallest = sized.groupBy("signature").agg(F.min("n").alias("smallest"))
     able = stored(sized.join(smallest, "signature").where(
         (F.col("reach") * den >= F.col("n") * num)
         & (F.col("reach") * (den + num) >= (F.col("n") + F.col("smallest")) * num)), "able")
-    able = able.drop("smallest").join(able.groupBy("set_id").agg(
-        F.collect_list("signature").alias("signatures")), "set_id").join(sets.select("set_id", "parity"), "set_id")
+    able = able.drop("smallest").join(sets.select("set_id", "parity"), "set_id")
     side = lambda name: able.select("signature", *(F.col(c).alias(f"{c}_{name}") for c in (
-        "set_id", "component", "n", "reach", "signatures", "parity")))
+        "set_id", "component", "n", "reach", "parity")))
     small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
     return side("a").join(side("b"), "signature").where(
         (F.col("component_a") < F.col("component_b")) & (small * den >= large * num)
         & (F.least("reach_a", "reach_b") * (den + num) >= (small + large) * num)
-        & (_differ("parity_a", "parity_b") * (den + num) <= (small + large) * (den - num))
-        & (F.col("signature") == F.array_min(F.array_intersect("signatures_a", "signatures_b")))).select(
-        F.least("set_id_a", "set_id_b").alias("a"), F.greatest("set_id_a", "set_id_b").alias("b"))
+        & (_differ("parity_a", "parity_b") * (den + num) <= (small + large) * (den - num))).select(
+        F.least("set_id_a", "set_id_b").alias("a"), F.greatest("set_id_a", "set_id_b").alias("b")).distinct()
 
 
 def _grouped(texts: DataFrame, shingle: int, similarity: tuple[int, int]) -> DataFrame:
