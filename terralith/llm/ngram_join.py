@@ -217,7 +217,7 @@ def _crossing(members: DataFrame, sets: DataFrame, features: DataFrame, num: int
     What a set can have in common with sets of other components is at most the number of its shingles that occur in
     one. Sets for which that is too few for any partner in their group are left out before the join, pairs for which
     it is too few, or whose parity maps differ too much, in the join's condition. What is left of the pairs is made
-    distinct: rows that carry all signatures of their set, to tell the first one a pair shares, took ten times the disk.
+    distinct: rows that carry all signatures of their set, to tell the first one a pair shares, grow with their square.
     """
     sized = members.join(_reach(members, features), "set_id").join(
         sets.select("set_id", F.col("n_shingles").alias("n")), "set_id")
